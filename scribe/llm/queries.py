@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scribe.llm import exact_dedup
+from scribe.llm import exact_dedup, simhash
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
