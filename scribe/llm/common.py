@@ -48,14 +48,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def arrow_map(df: DataFrame, schema: str, rows: Callable[..., dict[str, object]], *cols: str) -> DataFrame:
-    """mapInArrow over columns of df: rows(list, list, ...) gives each batch's output columns."""
-
-    names = [x.split()[0] for x in schema.split(",")]
+    """mapInArrow over columns of df: rows(list, list, ...) gives each batch's output columns in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = rows(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
 
     return df.select(*cols).mapInArrow(run, schema)
 
