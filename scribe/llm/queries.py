@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from scribe.llm import exact_dedup, simhash
+from scribe.llm import exact_dedup, packing, secrets, simhash, toxicity
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup}
+QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_packing": packing.op9_packing,
+    "op10_secret_scan": secrets.op10_secret_scan,
+}
+#: What plain SQL can say of them; the others are tested against brute force.
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}

@@ -22,6 +22,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scribe.llm.common import arrow_map, table
 
@@ -201,15 +202,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the value of each secret in the texts; all documents stay."""
 
+    names = docs.columns
+
     def rows(*cols: list) -> dict:
-        out = dict(zip(docs.columns, cols))
+        out = dict(zip(names, cols))
         old = out["text"]
         out["text"] = [redacted(t) for t in old]
         if "n_chars" in out:
             out["n_chars"] = [n if t is o else len(t) for n, t, o in zip(out["n_chars"], out["text"], old)]
         return {k: pa.array(v, arrow[k]) for k, v in out.items()}
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = {f.name: f.type for f in to_arrow_schema(docs.schema)}
-    return arrow_map(docs, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema), rows, *docs.columns)
+    return arrow_map(docs, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema), rows, *names)
