@@ -43,6 +43,12 @@ def fold_stream(spark: SparkSession, log: str, schema, files_per_batch: int = FI
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # All instances on an executor share this much native memory; idle ones are closed soon after a stream ends.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each store reserves MB of disk
+    session.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     out = work_dir(spark, "dedup-state")
@@ -71,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Hits: full bytes against the text of the row that stays, in slices of a group.
     keys = state.where("n > 1").select("digest", F.col("first.id").alias("keep"), F.ceil(F.col("n") / GROUP_SLICE).cast("int").alias("slices"))
-    hits = own.select("id", "norm", digest(F.col("norm")).alias("digest")).join(keys, "digest")
+    hits = materialise(own.select("id", "norm", digest(F.col("norm")).alias("digest")).join(keys, "digest"), "dedup-hits")
     texts = hits.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("norm").alias("kept_text"), F.max("slices").alias("slices"))
     texts = texts.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     sliced = hits.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
