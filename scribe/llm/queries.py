@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scribe.llm import exact_dedup, language, licenses, packing, secrets, simhash, substrings, syncmers, toxicity
+from scribe.llm import exact_dedup, language, licenses, packing, pieces, secrets, simhash, substrings, syncmers, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_language_id": language.op5_language_id,
     "op6_closed_syncmers": syncmers.op6_closed_syncmers,
     "op7_toxicity": toxicity.op7_toxicity,
