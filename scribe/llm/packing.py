@@ -15,7 +15,9 @@ long texts fill many windows; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +29,31 @@ from pyspark.sql import functions as F
 
 from scribe.llm.common import arrow_map, materialise, table
 
-WINDOW, END_ID, CACHE = 2048, 1, 400_000
+WINDOW, END_ID, CACHE = 2048, 1, 800_000
 ROUNDS = 300
 #: A worker's words, by the tokenizer's path; they outlive a task.
 WORKER: dict = {}
 
 
+#: What texts of plain Latin hold, and how this tokenizer's pattern parts such texts once in lower case.
+LATIN, DIGITS, BLANKS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r "
+BEYOND_LATIN = re.compile("[^\t-\r\x20-\x7e\xa1-\u024f]")
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[{DIGITS}]|[^{BLANKS}{LATIN}{DIGITS}]+")
+
+
+def byte_letters() -> list[str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Words:
-    """Token ids (as bytes) of white-space separated words, each tokenised once while it is remembered."""
+    """Token ids (as bytes) of the pieces that the tokenizer parts texts into, each tokenised once while it is remembered.
+
+    Texts of plain Latin are parted here by the tokenizer's own pattern, and its model encodes the pieces; all others go
+    to the whole tokenizer by words between spaces and line feeds, where it parts texts too.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,23 +61,43 @@ class Words:
 
         self.of = Tokenizer.from_file(path)
         self.wide = "<u2" if self.of.get_vocab_size() <= 1 << 16 else "<u4"
-        self.held: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.wide).tobytes()
+        self.letters = byte_letters()
+        self.pattern = BEYOND_LATIN if self.parts_alike() else None
+
+    def parts_alike(self) -> bool:
+        """Whether PIECE parts this tokenizer's texts."""
+        own = json.loads(self.of.to_str())
+        split = next((p for p in (own["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
+        return own["model"]["type"] == "BPE" and split.get("pattern") == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"} and {"type": "Lowercase"} in (own["normalizer"] or {}).get("normalizers", [])
+
+    def piece(self, text: str) -> bytes:
+        model = self.of.model.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode())))
+        return np.array([t.id for t in model], self.wide).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text and the end id. Only spaces and line feeds part words here; the tokenizer parts at them too."""
-        words = (text or "").replace("\n", " ").split(" ")
-        held = self.held
-        try:
-            return b"".join(map(held.__getitem__, words)) + self.end
-        except KeyError:
-            if len(held) > CACHE:
-                held.clear()
-            new = list(set(words).difference(held))
-            for at in range(0, len(new), 4096):
-                for w, e in zip(new[at : at + 4096], self.of.encode_batch(new[at : at + 4096], add_special_tokens=False)):
-                    held[w] = np.array(e.ids, self.wide).tobytes()
-            return b"".join(map(held.__getitem__, words)) + self.end
+        """Ids of a whole text and the end id."""
+        text = text or ""
+        if self.pattern and not self.pattern.search(text) and "<|" not in text:
+            parts, held = PIECE.findall(text.lower()), self.pieces
+            try:
+                return b"".join(map(held.__getitem__, parts)) + self.end
+            except KeyError:
+                if len(held) > CACHE:
+                    held.clear()
+                for w in set(parts).difference(held):
+                    held[w] = self.piece(w)
+                return b"".join(map(held.__getitem__, parts)) + self.end
+        parts, held = text.replace("\n", " ").split(" "), self.words
+        if len(held) > CACHE:
+            held.clear()
+        new = list(set(parts).difference(held))
+        for at in range(0, len(new), 4096):
+            for w, e in zip(new[at : at + 4096], self.of.encode_batch(new[at : at + 4096], add_special_tokens=False)):
+                held[w] = np.array(e.ids, self.wide).tobytes()
+        return b"".join(map(held.__getitem__, parts)) + self.end
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +231,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
     offsets = counts.select("part", "rest", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"))
     within = W.partitionBy("part", "rest").orderBy("row")
     ranked = sized.select("*", (F.row_number().over(within) - 1).alias("r"), (F.sum("full").over(within) - F.col("full")).alias("g"))
-    placed = ranked.join(offsets, ["part", "rest"]).select("doc_id", "n", "ids", (F.col("m0") + F.col("r")).alias("rank"), (F.col("f0") + F.col("g")).alias("full_rank"))
+    placed = ranked.join(offsets.hint("merge"), ["part", "rest"]).select("doc_id", "n", "ids", (F.col("m0") + F.col("r")).alias("rank"), (F.col("f0") + F.col("g")).alias("full_rank"))
     cast = spark.sparkContext.broadcast((plan, full_base))  # bounded by the window
     wide = "<u4"
 
