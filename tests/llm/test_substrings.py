@@ -31,9 +31,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, sizes=substrings.Sizes()):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string")
-    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_substrings(df.repartition(5)).collect()), key=str)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_substrings(df.repartition(5), sizes=sizes).collect()), key=str)
 
 
 def test_random_texts(spark):
@@ -50,6 +50,7 @@ def test_random_texts(spark):
                 text = text[:k] + "#" + text[k + 1 :]
             rows.append((rng.randrange(50), text))
         assert run(spark, rows) == brute(rows)
+        assert run(spark, rows, substrings.Sizes(900, 130, 2000)) == brute(rows)
 
 
 def test_edges(spark):
@@ -61,8 +62,4 @@ def test_edges(spark):
 def test_documents(spark):
     t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
     rows = [(i, x) for i, x in zip(t["doc_id"], t["text"])]
-    was, substrings.BATCH_BYTES, substrings.BLOCK_BYTES = (substrings.BATCH_BYTES, substrings.BLOCK_BYTES), 1 << 15, 1 << 13
-    try:
-        assert run(spark, rows) == brute(rows)
-    finally:
-        substrings.BATCH_BYTES, substrings.BLOCK_BYTES = was
+    assert run(spark, rows, substrings.Sizes(1 << 15, 1 << 10, 1 << 15)) == brute(rows)
