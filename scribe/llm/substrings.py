@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,20 @@ LENGTH, GRAM = 50, 24
 STEPS = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 GAP = 64
-#: Bytes of text that a batch takes, that are indexed at once, and that a part should hold.
-BATCH_BYTES, BLOCK_BYTES, PART_BYTES = 12 << 20, 1 << 20, 12 << 20
 NO_ID = np.iinfo(np.int64).max
 ROWS = "part int, kind int, data binary"
 COVER, REQUEST, TEXT, KEYS = 0, 1, 2, 3
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
 
+class Sizes(NamedTuple):
+    """Bytes of text that a batch takes, that are indexed at once, and that a part should hold."""
+
+    batch: int = 6 << 20
+    block: int = 1 << 20
+    part: int = 6 << 20
+
+
 def joined(a: np.ndarray, b: np.ndarray, m: np.uint64 = M1, n: np.uint64 = M2) -> np.ndarray:
     """Identifiers of two strings to that of both in a row."""
     x = (a ^ (a >> np.uint64(29))) * m
@@ -175,7 +182,7 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
 
-def batches_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def batches_of_texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -183,21 +190,46 @@ def batches_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.nda
             ids.append(NO_ID if i is None else i)
             texts.append(data)
             size += len(data)
-            if size > BATCH_BYTES:
+            if size > most:
                 yield np.array(ids, np.int64), texts
                 ids, texts, size = [], [], 0
     if ids:
         yield np.array(ids, np.int64), texts
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about BLOCK_BYTES, with the number of the first."""
-    first, size = 0, 0
+class Segment(NamedTuple):
+    doc: int
+    data: bytes
+    base: int  # of data in its text
+    low: int  # places of the text that this segment answers for
+    high: int
+
+
+def blocks(texts: list[bytes], most: int) -> Iterator[tuple[list[Segment], Block]]:
+    """The texts in blocks of about most bytes; longer ones in segments with GAP bytes of context on both sides."""
+    held: list[Segment] = []
+    size = 0
     for k, t in enumerate(texts):
-        size += len(t)
-        if size > BLOCK_BYTES or k + 1 == len(texts):
-            yield first, texts[first : k + 1]
-            first, size = k + 1, 0
+        for low in range(0, max(1, len(t)), most):
+            high = min(len(t), low + most)
+            base = max(0, low - GAP)
+            data = t[base : high + GAP]
+            held.append(Segment(k, data, base, low, high))
+            size += len(data)
+            if size > most:
+                yield held, Block([x.data for x in held])
+                held, size = [], 0
+    if held:
+        yield held, Block([x.data for x in held])
+
+
+def in_texts(segments: list[Segment], block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those of some places of a block that its segments answer for: place, segment, document, place in the text."""
+    of = block.owners(at)
+    base, low, high, doc = (np.array([getattr(x, f) for x in segments], np.int64) for f in ("base", "low", "high", "doc"))
+    place = at - block.starts[of] + base[of]
+    mine = (place >= low[of]) & (place < high[of])
+    return at[mine], of[mine], doc[of[mine]], place[mine]
 
 
 def per_doc(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -255,19 +287,17 @@ def settle(ids, keys, main, second, doc, place, kind: int, parts: int, doc_parts
     yield from key_blobs(kind, parts, ids, keys, main[first], second[first], doc[first], place[first])
 
 
-def index_rows(parts: int, doc_parts: int):
+def index_rows(parts: int, doc_parts: int, sizes: Sizes):
     """Level 1: rows of the first buckets, and what batches settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for ids, texts in batches_of_texts(batches):
+            for ids, texts in batches_of_texts(batches, sizes.batch):
                 keys = np.array([text_key(t) for t in texts], np.int64)
                 found: list[list[np.ndarray]] = [[], [], [], []]
-                for first, some in blocks(texts):
-                    block = Block(some)
-                    at = block.anchors()
-                    of = block.owners(at)
-                    for held, x in zip(found, (block.g24[at], block.around(at, of), of + first, at - block.starts[of])):
+                for segments, block in blocks(texts, sizes.block):
+                    at, of, doc, place = in_texts(segments, block, block.anchors())
+                    for held, x in zip(found, (block.g24[at], block.around(at, of), doc, place)):
                         held.append(x)
                 main, second, doc, place = (np.concatenate(x) for x in found)
                 yield from settle(ids, keys, main, second, doc, place, KEYS, parts, doc_parts)
@@ -340,18 +370,18 @@ def refine_rows(doc_parts: int, windows: bool):
     return run
 
 
-def text_rows(doc_parts: int):
+def text_rows(doc_parts: int, sizes: Sizes):
     """Texts by document part: ids, keys and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for ids, texts in batches_of_texts(batches):
+            for ids, texts in batches_of_texts(batches, sizes.batch):
                 part = doc_part(ids, doc_parts)
                 for p in np.unique(part):
                     mine = np.flatnonzero(part == p)
                     keys = np.array([text_key(texts[i]) for i in mine], np.int64)
-                    sizes = np.array([len(texts[i]) for i in mine], np.int64)
-                    yield row(int(p), TEXT, packed(ids[mine], keys, sizes, np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)))
+                    lengths = np.array([len(texts[i]) for i in mine], np.int64)
+                    yield row(int(p), TEXT, packed(ids[mine], keys, lengths, np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)))
 
         return as_batches(rows())
 
@@ -377,7 +407,7 @@ def sorted_out(own: Iterator[tuple[int, bytes]]):
     return texts, places
 
 
-def window_rows(parts: int, doc_parts: int):
+def window_rows(parts: int, doc_parts: int, sizes: Sizes):
     """Level 3: identifiers of the windows that open q-grams represent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +419,11 @@ def window_rows(parts: int, doc_parts: int):
                     continue
                 ids, keys = np.array([t[0] for t in wanted], np.int64), np.array([t[1] for t in wanted], np.int64)
                 found: list[list[np.ndarray]] = [[], [], [], []]
-                for first, some in blocks([t[2] for t in wanted]):
-                    block = Block(some)
+                asked = [np.sort(np.concatenate(places[REQUEST][t[:2]])) for t in wanted]
+                for segments, block in blocks([t[2] for t in wanted], sizes.block):
                     least = block.least()
-                    at = np.concatenate([np.concatenate(places[REQUEST][wanted[first + k][:2]]) + block.starts[k] for k in range(len(some))])
+                    own_places = [asked[x.doc][slice(*np.searchsorted(asked[x.doc], [x.low, x.high]))] - x.base + a for x, a in zip(segments, block.starts)]
+                    at = np.concatenate(own_places)
                     need = np.zeros(len(least), bool)
                     for back in range(STEPS):
                         s = at - back
@@ -400,7 +431,9 @@ def window_rows(parts: int, doc_parts: int):
                     s = np.flatnonzero(need)
                     of = block.owners(s)
                     x, y = block.windows(s)
-                    for held, v in zip(found, (x, y, of + first, s - block.starts[of])):
+                    doc = np.array([g.doc for g in segments], np.int64)[of]
+                    place = s - block.starts[of] + np.array([g.base for g in segments], np.int64)[of]
+                    for held, v in zip(found, (x, y, doc, place)):
                         held.append(v)
                 main, second, doc, place = (np.concatenate(v) for v in found)
                 for kind_row in settle(ids, keys, main, second, doc, place, KEYS, parts, doc_parts):
@@ -411,6 +444,16 @@ def window_rows(parts: int, doc_parts: int):
     return run
 
 
+def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals joined where they meet or touch."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+    return starts[new], ends[np.concatenate([new[1:] - 1, [len(ends) - 1]])]
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
@@ -421,37 +464,31 @@ def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]
         for i, k, text in texts:
             n = len(text)
-            marks = np.zeros(n + 1, np.int32)
-            for p in places[COVER].get((i, k), []):
-                np.add.at(marks, np.maximum(p - REACH, 0), 1)
-                np.add.at(marks, np.minimum(p + GRAM + REACH, n), -1)
-            for p in places[REQUEST].get((i, k), []):
-                np.add.at(marks, p, 1)
-                np.add.at(marks, p + LENGTH, -1)
-            gone = np.cumsum(marks[:n]) > 0
-            edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-            starts, ends = edge[::2], edge[1::2]
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(starts) else text
+            grams = np.concatenate(places[COVER].get((i, k), [np.zeros(0, np.int64)]))
+            whole = np.concatenate(places[REQUEST].get((i, k), [np.zeros(0, np.int64)]))
+            starts, ends = runs_of(np.concatenate([np.maximum(grams - REACH, 0), whole]), np.concatenate([np.minimum(grams + GRAM + REACH, n), whole + LENGTH]))
+            edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), n]
+            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if len(starts) else text
             for column, v in zip(out, (None if i == NO_ID else i, n, int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest(), starts.tolist(), ends.tolist())):
                 column.append(v)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs' starts and ends (bytes)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(16, total // PART_BYTES)
-    n = partitions(spark)
+    parts = max(16, total // sizes.part)
+    n = max(partitions(spark), parts)
 
     def by_part(df: DataFrame) -> DataFrame:
         return df.repartition(n, "part").sortWithinPartitions("part", "kind")
 
-    level2 = materialise(by_part(own.mapInArrow(index_rows(parts, parts), ROWS)).mapInArrow(refine_rows(parts, False), ROWS), "buckets")
-    texts = own.mapInArrow(text_rows(parts), ROWS)
-    windows = by_part(texts.unionByName(level2.where(F.col("kind") == REQUEST))).mapInArrow(window_rows(parts, parts), ROWS)
+    level2 = materialise(by_part(own.mapInArrow(index_rows(parts, parts, sizes), ROWS)).mapInArrow(refine_rows(parts, False), ROWS), "buckets")
+    texts = own.mapInArrow(text_rows(parts, sizes), ROWS)
+    windows = by_part(texts.unionByName(level2.where(F.col("kind") == REQUEST))).mapInArrow(window_rows(parts, parts, sizes), ROWS)
     # What level 3 settles within parts or covers are windows: they travel as kind REQUEST from here on.
     level3 = materialise(by_part(windows).mapInArrow(refine_rows(parts, True), ROWS), "windows").withColumn("kind", F.lit(REQUEST))
     return by_part(texts.unionByName(level2.where(F.col("kind") == COVER)).unionByName(level3)).mapInArrow(removal_rows, RESULT)
