@@ -442,7 +442,7 @@ def assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "seg_merge_boxes",
     """WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, CAST(l_partkey % 100 AS INTEGER) AS s, CAST(l_partkey % 100 + 5 + l_suppkey % 30 - 1 AS INTEGER) AS e,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 100, l_partkey % 100 + 5 + l_suppkey % 30, l_linenumber) AS n FROM lineitem WHERE 5 + l_suppkey % 30 >= 10),
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 100, l_linenumber, l_suppkey % 30) AS n FROM lineitem WHERE 5 + l_suppkey % 30 >= 10),
     m AS (SELECT image_id, n, s AS y_start, e AS y_end, 1 AS line_no FROM b WHERE n = 1 UNION ALL
     SELECT m.image_id, b.n, CASE WHEN joins THEN m.y_start ELSE b.s END, CASE WHEN joins THEN greatest(m.y_end, b.e) ELSE b.e END, CASE WHEN joins THEN m.line_no ELSE m.line_no + 1 END
     FROM m JOIN b ON b.image_id = m.image_id AND b.n = m.n + 1, LATERAL (SELECT greatest(least(m.y_end, b.e) - greatest(m.y_start, b.s) + 1, 0) / least(m.y_end - m.y_start + 1, b.e - b.s + 1)::DOUBLE >= 0.5 AS joins))

@@ -36,8 +36,8 @@ def log_rows(responses: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def new_rows(history: DataFrame, rows: DataFrame, *order: Column) -> DataFrame:
-    """Of rows, the first of each request_id that history lacks: the first write wins."""
-    first = W.partitionBy("request_id").orderBy(*order)
+    """Of rows, the first of each request_id (by order, else by timestamp) that history lacks: the first write wins."""
+    first = W.partitionBy("request_id").orderBy(*(order or ("timestamp",)))
     once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return once.join(history.select("request_id"), "request_id", "left_anti")
 
