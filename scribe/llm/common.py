@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,9 +55,10 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[..., dict[str, object]]
     """mapInArrow over columns of df: rows(list, list, ...) gives each batch's output columns in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = rows(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
+        for part in batches:
+            for batch in (part.slice(at, SLICE_ROWS) for at in range(0, part.num_rows, SLICE_ROWS)):
+                out = rows(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
 
     return df.select(*cols).mapInArrow(run, schema)
 

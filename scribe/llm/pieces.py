@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribe.llm.common import arrow_map, materialise, partitions, table
+from scribe.llm.common import SLICE_ROWS, arrow_map, materialise, partitions, table
 
 BLANK = "▁"
+TAIL = re.compile(r"(?<=\w)\W+$")
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Letters of a chunk; documents of more are cut. A word of more is cut within a document.
 CHUNK, WORD_CHUNK = 1 << 16, 1 << 10
-CACHE = 600_000
+CACHE = 300_000
 NEVER = -np.inf
 #: A worker's models, by path; they outlive a task.
 WORKER: dict[str, Model] = {}
@@ -59,15 +60,27 @@ class Model:
         self.longest = max(map(len, self.score))
         self.ids = {p: i for i, p in enumerate(self.names) if p in self.score and self.merged(p) == [p]}
         self.raw = [b"" if sp.is_control(i) else bytes([int(self.names[i][3:5], 16)]) if sp.is_byte(i) else (" ⁇ " if sp.is_unknown(i) else self.names[i]).encode() for i in range(n)]
+        self.reach: dict[str, int] = {}  # by the first three letters, the longest piece
+        for p in self.ids:
+            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 2))
         self.begins = {p[:i] for p in self.ids for i in range(1, len(p))}
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.fits: dict[tuple[str, str], bool] = {}
+        # Pieces by rank: single letters first, then in the order in which merging prefers them; and the last merge of each.
+        order = sorted(self.ids, key=lambda p: (len(p) > 1, -self.score[p], self.ids[p]))
+        self.rank, self.by_rank = {p: r for r, p in enumerate(order)}, order
+        halves = [(p, p) if len(p) == 1 else self.merged(p, 2) for p in order]
+        self.left, self.right = [self.rank[a] for a, _ in halves], [self.rank[b] for _, b in halves]
+        # Pieces that merging prefers to their own halves break that order; pairs of letters within them are merged anew.
+        odd = [p for r, p in enumerate(order) if len(p) > 1 and max(self.left[r], self.right[r]) >= r]
+        self.odd = {p[i : i + 2] for p in odd for i in range(len(p) - 1)}
+        self.weights: dict[int, float] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what self.words was before it was full
 
-    def merged(self, text: str) -> list[str]:
-        """Neighbours merged by best score, the leftmost first, until none is a piece."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """Neighbours merged by best score, the leftmost first, until none is a piece or only least parts are left."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -80,15 +93,40 @@ class Model:
 
     def weight(self, left: str, right: str) -> float:
         """0 if the two pieces stay apart when their text is encoded, else minus infinity."""
-        if left[-1] + right[0] not in self.pairs:
+        rank, meet = self.rank, left[-1] + right[0]
+        if left not in rank or right not in rank:
             return 0.0
-        key = (left, right)
-        fits = self.fits.get(key)
-        if fits is None:
-            if len(self.fits) > 4 * CACHE:
-                self.fits.clear()
-            fits = self.fits[key] = self.merged(left + right) == [left, right]
-        return 0.0 if fits else NEVER
+        key = rank[left] << 20 | rank[right]
+        held = self.weights.get(key)
+        if held is None:
+            if len(self.weights) > CACHE:
+                self.weights.clear()
+            if meet not in self.pairs:
+                held = 0.0
+            elif meet in self.odd:
+                held = 0.0 if self.merged(left + right) == [left, right] else NEVER
+            else:
+                held = self.undone(rank[left], rank[right])
+            self.weights[key] = held
+        return held
+
+    def undone(self, a: int, b: int) -> float:
+        """The weight between two pieces given by rank."""
+        # Merges are undone, the latest first: left's right end and right's left end are what met at each time. They stay
+        # apart unless at some time their union was a piece that merging preferred to what came next.
+        rank, names = self.rank, self.by_rank
+        bound = len(names)
+        while True:
+            union = rank.get(names[a] + names[b])
+            if union is not None and union < bound:
+                return NEVER
+            inner_a, inner_b = self.right[a], self.left[b]
+            if inner_a == a and inner_b == b:
+                return 0.0
+            if inner_b == b or a > b and inner_a != a:
+                bound, a = a, inner_a
+            else:
+                bound, b = b + 1, inner_b
 
     def at(self, text: str, start: int, end: int) -> Iterator[int]:
         """Where pieces that begin at start end, up to end; a letter without a piece stands alone."""
@@ -153,27 +191,37 @@ class Model:
         return out[::-1]
 
     def one_chunk(self, text: str) -> list[str]:
-        """The encoding of a text between two cuts that no piece crosses: forward() and backtrace() with one state each."""
-        ids, begins, pairs, fits, n = self.ids, self.begins, self.pairs, self.fits, len(text)
-        back = [-1] * (n + 1)
-        for p in range(n):
-            last = text[back[p] : p] if p else ""
-            for stop in range(p + 1, n + 1):
+        """The encoding of a text between two cuts that no piece crosses: the path of weight 0, tried by longest pieces.
+
+        A place is reached by one path alone, so a place from which the end was not reached need not be tried again.
+        """
+        rank, reach, weights, n, names, ranks = self.rank, self.reach, self.weights, len(text), [], []
+        stops, dead, limit = [0], set(), n
+        while (p := stops[-1]) < n:
+            last = ranks[-1] if ranks else None
+            for stop in range(min(limit, p + reach.get(text[p : p + 3], 2)), p, -1):
                 part = text[p:stop]
-                if part in ids or stop == p + 1:
-                    if not p or last[-1] + part[0] not in pairs:
-                        back[stop] = p
-                    else:
-                        fit = fits.get((last, part))
-                        if fit or fit is None and self.weight(last, part) == 0.0:
-                            back[stop] = p
-                if part not in begins:
-                    break
-        out = []
-        while n:
-            out.append(text[back[n] : n])
-            n = back[n]
-        return out[::-1]
+                own = rank.get(part)
+                if own is None and stop > p + 1 or stop in dead:
+                    continue
+                if last is not None and own is not None:
+                    weight = weights.get(last << 20 | own)
+                    if weight is None:
+                        weight = self.weight(names[-1], part)
+                    if weight:
+                        continue
+                stops.append(stop)
+                names.append(part)
+                ranks.append(own)
+                break
+            else:
+                dead.add(p)
+                limit = stops.pop() - 1
+                names.pop()
+                ranks.pop()
+                continue
+            limit = n
+        return names
 
     def pieces(self, text: str, chunk: int = WORD_CHUNK) -> list[str]:
         """The encoding of a text, chunk by chunk."""
@@ -191,12 +239,17 @@ class Model:
         return [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "replace")] if self.byte else [self.unknown]
 
     def word(self, text: str) -> bytes:
-        """Ids of a word as bytes; cut first where no piece can cross."""
-        safe = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs), len(text)]
-        out = []
+        """Ids of a word as bytes; a long one is cut first where no piece can cross."""
+        long = len(text) > WORD_CHUNK
+        safe = [0, *(i for i in range(1, len(text)) if long and text[i - 1 : i + 1] not in self.pairs), len(text)]
+        out, ids = array("I"), self.ids
         for a, b in zip(safe, safe[1:]):
-            out += [i for p in self.pieces(text[a:b]) for i in self.codes(p)]
-        return np.array(out, np.uint32).tobytes()
+            for p in self.pieces(text[a:b]):
+                if p in ids:
+                    out.append(ids[p])
+                else:
+                    out.extend(self.codes(p))
+        return out.tobytes()
 
     def encode_span(self, text: str) -> bytes:
         """Ids of a text whose ends no piece crosses (blanks already marked)."""
@@ -205,11 +258,20 @@ class Model:
             return b"".join(map(held.__getitem__, words))
         except KeyError:
             if len(held) > CACHE:
-                held.clear()
+                self.words, self.older = {}, held
+                held = self.words
             for w in set(words).difference(held):
-                held[w] = self.word(w)
+                held[w] = self.older.get(w) or self.parted(w)
             return b"".join(map(held.__getitem__, words))
 
+    def parted(self, text: str) -> bytes:
+        """Ids of a word that is new; letters and the marks after them apart where no piece has both."""
+        m = TAIL.search(text)
+        if m and text[m.start() - 1 : m.start() + 1] not in self.pairs:
+            head, tail = text[: m.start()], text[m.start() :]
+            return b"".join(self.words.get(x) or self.older.get(x) or self.words.setdefault(x, self.word(x)) for x in (head, tail))
+        return self.word(text)
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(BLANK, " ")
         return text.removeprefix(" ")
@@ -294,15 +356,19 @@ def codes_of(model: Model, pieces: list[str]) -> bytes:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """A row per row of docs: doc_id, text, ids (bytes: little-endian unsigned 32-bit)."""
+    """A row per row of docs: doc_id, n_chars, text_sha256, ids (bytes: little-endian unsigned 32-bit)."""
+    kept = "doc_id long, n_chars long, text_sha256 string, ids binary"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = F.coalesce(F.length("text"), F.lit(0))
 
     def short(ids: list, texts: list) -> dict:
         model = model_of(path)
-        return {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.array([model.encode_span(marked(t)) for t in texts], pa.binary())}
+        return {
+            "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "text_sha256": pa.array([hashlib.sha256((t or "").encode("utf-8", "replace")).hexdigest() for t in texts]),
+            "ids": pa.array([model.encode_span(marked(t)) for t in texts], pa.binary()),
+        }
 
-    whole = arrow_map(own.where(n < chunk), "doc_id long, text string, ids binary", short, "doc_id", "text")
+    whole = arrow_map(own.where(n < chunk), kept, short, "doc_id", "text")
 
     # Long documents: each chunk with its context is a row; cuts are places in the marked text.
     long = own.where(n >= chunk).withColumn("doc", F.monotonically_increasing_id())
@@ -346,17 +412,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     traced = arrow_map(placed, "doc long, chunk long, ids binary", trace, "doc", "chunk", "piece", "left", "right", "a", "b")
     joined = traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     codes = joined.select("doc", F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "").alias("hex"))
-    return whole.unionByName(held.join(codes, "doc").select("doc_id", "text", F.unhex("hex").alias("ids")))
+    long_rows = held.join(codes, "doc").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.unhex("hex").alias("ids"))
+    return whole.unionByName(long_rows)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds decoded, the text that ids stand for, to doc_id, text, ids."""
+    """Adds decoded, the text that ids stand for, to doc_id, n_chars, text_sha256, ids."""
+    kept = "doc_id long, n_chars long, text_sha256 string, ids binary"
 
-    def rows(ids: list, texts: list, codes: list) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        return {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.array(codes, pa.binary()), "decoded": pa.array([model.decode(np.frombuffer(c, np.uint32)) for c in codes], pa.string())}
+        for part in batches:
+            for batch in (part.slice(at, SLICE_ROWS) for at in range(0, part.num_rows, SLICE_ROWS)):
+                texts = pa.array([model.decode(np.frombuffer(c, np.uint32)) for c in batch.column("ids").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    return arrow_map(encoded, "doc_id long, text string, ids binary, decoded string", rows, "doc_id", "text", "ids")
+    return encoded.select("doc_id", "n_chars", "text_sha256", "ids").mapInArrow(run, f"{kept}, decoded string")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -369,4 +440,5 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_crc32 (of the ids as bytes), decoded_sha256, round_trip."""
     path = model_path()
     back = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return back.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    digest = F.sha2(F.col("decoded").cast("binary"), 256)
+    return back.select("doc_id", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("round_trip"))
