@@ -247,6 +247,8 @@ def per_doc(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, doc: np.nd
 
 def key_blobs(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, main: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Rows by range of main identifier; the records are sorted by main."""
+    if not len(main):
+        return
     part = ((main >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
     edges = np.searchsorted(part, np.arange(parts + 1)) if parts < 4 * len(part) else None
     cuts = zip(range(parts), edges[:-1], edges[1:]) if edges is not None else ((int(part[a]), a, b) for a, b in zip(*_runs(part)))
@@ -480,8 +482,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(16, total // sizes.part)
-    n = max(partitions(spark), parts)
+    n = parts = max(partitions(spark), total // sizes.part)
 
     def by_part(df: DataFrame) -> DataFrame:
         return df.repartition(n, "part").sortWithinPartitions("part", "kind")
