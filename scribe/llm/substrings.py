@@ -67,6 +67,12 @@ def joined(a: np.ndarray, b: np.ndarray, m: np.uint64 = M1, n: np.uint64 = M2) -
     return x
 
 
+def spread(x: np.ndarray) -> np.ndarray:
+    """Identifiers one to one, evenly over their range: the least of each window crowd at its low end."""
+    x = (x ^ (x >> np.uint64(33))) * M4
+    return x ^ (x >> np.uint64(29))
+
+
 def slid(x: np.ndarray, best, width: int) -> np.ndarray:
     """best over x[i : i + width] for each i, by doubling; the tail repeats shorter windows."""
     out, have = x.copy(), 1
@@ -299,7 +305,7 @@ def index_rows(parts: int, doc_parts: int, sizes: Sizes):
                 found: list[list[np.ndarray]] = [[], [], [], []]
                 for segments, block in blocks(texts, sizes.block):
                     at, of, doc, place = in_texts(segments, block, block.anchors())
-                    for held, x in zip(found, (block.g24[at], block.around(at, of), doc, place)):
+                    for held, x in zip(found, (spread(block.g24[at]), block.around(at, of), doc, place)):
                         held.append(x)
                 main, second, doc, place = (np.concatenate(x) for x in found)
                 yield from settle(ids, keys, main, second, doc, place, KEYS, parts, doc_parts)
