@@ -7,7 +7,7 @@ from collections import defaultdict, deque
 import numpy as np
 from pyspark.sql import functions as F
 
-from scribe.operators import execute, layout, limiter, vision
+from scribe.operators import execute, gate, layout, limiter, vision
 from scribe.plans.evaluate import evaluate, health
 from scribe.sources import history, images
 from scribe.streaming.limiter import admit_stream, run_to_table
@@ -160,6 +160,16 @@ def test_trusted_execution(spark):
     assert [r.execution.status for r in execute.executed(df, execute.python_process).collect()] == ["success", "success"]
 
 
+def test_container_command():
+    for language, (name, _, _, memory, _) in gate.COMMANDS.items():
+        own = execute.container_command(language, "/f", "img")
+        line = " ".join(own)
+        assert own[:2] == ["docker", "run"] and "--network none" in line and "--read-only" in line and "--cap-drop ALL" in line
+        assert f"--memory {memory}" in line and "/f:/source:ro" in line and name in own[-1]
+    assert "&&" in execute.container_command("java", "/f", "img")[-1]
+    assert "Unsupported" in execute.container("img")("x", "bash")["stderr"]
+
+
 def test_evaluation_of_files(spark, tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()
