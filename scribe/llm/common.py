@@ -63,6 +63,14 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[..., dict[str, object]]
     return df.select(*cols).mapInArrow(run, schema)
 
 
+def least_hashes(col: str, wanted: int, total: int):
+    """True for all of total rows if they are few, else for about 3 * wanted of them, those of the smallest hashes: what a
+    choice of wanted rows is made from, so that no task sorts all rows."""
+    if total <= 3 * wanted:
+        return F.lit(True)
+    return F.xxhash64(col) < F.lit(-(1 << 63) + (1 << 64) * 3 * wanted // total)
+
+
 def crc_mod(col: str, modulus: int):
     """crc32 of an id's text, modulo: how held-out rows are told."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

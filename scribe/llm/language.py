@@ -5,7 +5,8 @@ sum of smoothed log-probabilities of the word's letter groups (1 to 3 letters, w
 of the word itself, held in at most WORD_BOUND. Viterbi over the words of a text, with a price for each change, labels
 spans; the text's language is the one with the most letters in its spans, and its score their share.
 
-The sample is bounded by SAMPLE_ROWS texts a language of at most SAMPLE_CHARS letters, chosen by a hash of doc_id;
+The sample is bounded by SAMPLE_ROWS texts a language of at most SAMPLE_CHARS letters, chosen by a hash of doc_id, for the
+MOST_LANGS commonest languages;
 prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and no spans; with no labelled rows all texts
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribe.llm.common import arrow_map, crc_mod, table
+from scribe.llm.common import arrow_map, crc_mod, least_hashes, table
 
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 8000
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGS = 400, 8000, 200
 SWITCH, WORD_BOUND, SMOOTHING, LEAST_SEEN = 12.0, 8.0, 0.5, 2
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -210,12 +211,16 @@ def sample_of(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc
     """At most SAMPLE_ROWS texts of each language, those of the smallest hashes."""
     rows = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
     rows = rows.where(allowed) if allowed is not None else rows
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    chosen = F.lit(False)
+    for r in counts:
+        chosen = F.when(F.col("lang") == r.lang, least_hashes(id_col, SAMPLE_ROWS, r.n)).otherwise(chosen)
     first = W.partitionBy("lang").orderBy(F.xxhash64(id_col), id_col)
-    ids = rows.select(F.col(id_col).alias("i"), F.col("lang").alias("lang"), F.row_number().over(first).alias("k")).where(F.col("k") <= SAMPLE_ROWS)
-    held = [r.i for r in ids.select("i").orderBy(F.xxhash64("i")).limit(200 * SAMPLE_ROWS).collect()]
+    ids = rows.where(chosen).select(F.col(id_col).alias("i"), "lang", F.row_number().over(first).alias("k")).where(F.col("k") <= SAMPLE_ROWS)
+    held = [r.i for r in ids.select("i").collect()]  # at most MOST_LANGS * SAMPLE_ROWS
     wanted = docs.sparkSession.createDataFrame([(i,) for i in held] or [(None,)], "i long")  # bounded by the sample
     found = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), "lang").join(F.broadcast(wanted), "i", "left_semi")
-    return [(r.t, r.lang) for r in found.orderBy("i", "t").limit(200 * SAMPLE_ROWS).collect()]
+    return [(r.t, r.lang) for r in found.orderBy("i", "t").limit(MOST_LANGS * SAMPLE_ROWS).collect()]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
