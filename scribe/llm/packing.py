@@ -19,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scribe.llm.common import arrow_map, materialise, table
 
-WINDOW, END_ID, CACHE = 2048, 1, 800_000
+WINDOW, END_ID, CACHE = 2048, 1, 500_000
 ROUNDS = 300
 #: A worker's words, by the tokenizer's path; they outlive a task.
 WORKER: dict = {}
@@ -38,6 +39,8 @@ WORKER: dict = {}
 #: What texts of plain Latin hold, and how this tokenizer's pattern parts such texts once in lower case.
 LATIN, DIGITS, BLANKS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r "
 BEYOND_LATIN = re.compile("[^\t-\r\x20-\x7e\xa1-\u024f]")
+#: Bytes of such texts that need no second look: ASCII, and letters from U+00C0 to U+023F.
+PLAIN_BYTES = bytes([*range(9, 14), *range(32, 127), *range(0xC3, 0xC9), *range(0x80, 0xC0)])
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[{DIGITS}]|[^{BLANKS}{LATIN}{DIGITS}]+")
 
 
@@ -61,11 +64,13 @@ class Words:
 
         self.of = Tokenizer.from_file(path)
         self.wide = "<u2" if self.of.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.wide == "<u2" else "I"
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what self.pieces was before it was full
         self.words: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.wide).tobytes()
         self.letters = byte_letters()
-        self.pattern = BEYOND_LATIN if self.parts_alike() else None
+        self.alike = self.parts_alike()
 
     def parts_alike(self) -> bool:
         """Whether PIECE parts this tokenizer's texts."""
@@ -75,20 +80,27 @@ class Words:
 
     def piece(self, text: str) -> bytes:
         model = self.of.model.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode())))
-        return np.array([t.id for t in model], self.wide).tobytes()
+        return array(self.code, [t.id for t in model]).tobytes()
+
+    def is_plain(self, text: str) -> bool:
+        """Whether PIECE parts a text as the tokenizer does. Most texts show it by their bytes alone."""
+        if not self.alike or "<|" in text:
+            return False
+        return not text.encode("utf-8", "surrogatepass").translate(None, PLAIN_BYTES) or not BEYOND_LATIN.search(text)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text and the end id."""
         text = text or ""
-        if self.pattern and not self.pattern.search(text) and "<|" not in text:
+        if self.is_plain(text):
             parts, held = PIECE.findall(text.lower()), self.pieces
             try:
                 return b"".join(map(held.__getitem__, parts)) + self.end
             except KeyError:
                 if len(held) > CACHE:
-                    held.clear()
+                    self.pieces, self.older = {}, held
+                    held = self.pieces
                 for w in set(parts).difference(held):
-                    held[w] = self.piece(w)
+                    held[w] = self.older.get(w) or self.piece(w)
                 return b"".join(map(held.__getitem__, parts)) + self.end
         parts, held = text.replace("\n", " ").split(" "), self.words
         if len(held) > CACHE:
