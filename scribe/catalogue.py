@@ -115,8 +115,9 @@ text_query(
 
 
 def sql_keywords(t: str) -> str:
-    first = rewritten(whole_words(t, [(f"de{SQL_WS}*f", "def"), ("def", "def")]), f"(^|[^{SQL_WORD}])de[£€]([{SQL_WORD}])", r"\1def\2", 2)
-    return whole_words(first, [(f"{a}{SQL_WS}*{b}", w) for a, b, w in rules.SPLIT_KEYWORDS])
+    # A word that is whole already must not match: it would use up the blank before the next one on every run.
+    first = rewritten(whole_words(t, [(f"de{SQL_WS}+f", "def")]), f"(^|[^{SQL_WORD}])de[£€]([{SQL_WORD}])", r"\1def\2", 2)
+    return whole_words(first, [(f"{a}{SQL_WS}{'+' if a + b == w else '*'}{b}", w) for a, b, w in rules.SPLIT_KEYWORDS])
 
 
 text_query("keyword_rules", rules.KEYWORDS.apply, [(" the ", " de f "), (" of ", " pr int in put "), (" to ", " Tr\nue "), (" la ", " retur  n "), (" de ", " de£x el se "), ("é", "éin put ")], sql_keywords)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Fixed value: the characters of a word, beyond ASCII too; word ends are spelt with it, as \b differs among engines.
 WORD = r"[\p{L}\p{N}_]"
-START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
+END = rf"(?!{WORD})"
 
 #: The words that open a block.
 BLOCK_WORDS = ("def", "if", "else", "elif", "for", "while", "class", "try", "except", "finally", "with")
@@ -48,7 +48,8 @@ DASHES = ("-", "—", "–")
 
 
 def rejoined(head: str, tail: str, word: str) -> tuple[str, str]:
-    return f"{START}{head}{WS}*{tail}{END}", word
+    # Letters first: what stands before is looked at only where they do.
+    return f"{head}(?<!{WORD}{head}){WS}*{tail}{END}", word
 
 
 ARROWS = RuleSet("arrows", tuple((f"{WS}*{d}{WS}*>{WS}*", " -> ") for d in DASHES))
@@ -57,10 +58,10 @@ KEYWORDS = RuleSet(
     (
         rejoined("de", "f", "def"),
         # A currency sign is no part of a word, so that the word must go on after it.
-        (f"{START}de(?:f{END}|[£€](?={WORD}))", "def"),
+        (f"de(?<!{WORD}de)(?:f{END}|[£€](?={WORD}))", "def"),
         *(rejoined(*k) for k in SPLIT_KEYWORDS),
     ),
     ("python",),
 )
-MISREAD = RuleSet("misread", tuple((f"{START}{a}{END}", b) for a, b in MISREAD_WORDS), ("python",))
+MISREAD = RuleSet("misread", tuple((f"{a}(?<!{WORD}{a}){END}", b) for a, b in MISREAD_WORDS), ("python",))
 CATALOGUE = (ARROWS, KEYWORDS, MISREAD)
