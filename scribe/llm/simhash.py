@@ -125,11 +125,11 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= MOST_BITS
+def near(a: np.ndarray, b: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= most
 
 
-def stars_of_runs(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars_of_runs(key: np.ndarray, fp: np.ndarray, own: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Stars (member, centre) over the links found within each key's run; the arrays are sorted by key."""
     ends = np.flatnonzero(np.diff(key, append=key[-1] + 1)) + 1
     starts = np.concatenate([[0], ends[:-1]])
@@ -140,7 +140,7 @@ def stars_of_runs(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.
     found_a, found_b = [], []
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
-        hit = near(fp[a], fp[b]) & (fp[a] != fp[b])
+        hit = near(fp[a], fp[b], most) & (fp[a] != fp[b])
         if hit.any():
             found_a.append(of[a[hit]])
             found_b.append(of[b[hit]])
@@ -177,12 +177,12 @@ def stars_of_runs(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.
     return names[moved].view(np.int64), names[labels[moved]].view(np.int64)
 
 
-def star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def star_rows(batches: Iterator[pa.RecordBatch], most: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by key; an open run is carried into the next batch."""
     held = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, bool)]
 
     def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = stars_of_runs(*parts)
+        u, v = stars_of_runs(*parts, most)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for batch in batches:
