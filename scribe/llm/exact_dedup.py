@@ -108,6 +108,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row with the smallest doc_id, once."""
-    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_digest"))
-    joined = docs.withColumn("_digest", sha256(normalised(F.col("text")))).join(kept, ["doc_id", "_digest"], "left_semi")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
+    held = docs.withColumn("_digest", sha256(normalised(F.col("text"))))
+    joined = held.join(kept, held.doc_id.eqNullSafe(kept._kept_id) & (held._digest == kept._kept_digest), "left_semi")
     return joined.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)

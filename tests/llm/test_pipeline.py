@@ -71,3 +71,10 @@ def test_odd_rows(spark):
         assert stage(spark, df.limit(0), SF).count() == 0, name
     more = df.withColumn("_digest", F.lit(1)).withColumn("ids", F.lit("z"))
     assert exact_dedup.stage(spark, more, SF).columns == more.columns
+
+
+def test_exact_dedup_keeps_null_identifiers(spark):
+    rows = [(None, "alone"), (None, "twice now"), (None, "twice\tnow"), (None, "with an id"), (4, "with an id"), (5, None), (6, ""), (7, "alone too")]
+    out = exact_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    got = sorted((r.doc_id or 0, (r.text or "").replace("\t", " ")) for r in out)
+    assert got == [(0, "alone"), (0, "twice now"), (4, "with an id"), (5, ""), (7, "alone too")]
