@@ -2,7 +2,7 @@
 
 Base kinds, leftmost and non-overlapping: assign (a name of five, an operator, a value of 6 or more), access (AKIA keys of
 20 or more), hex (24 or more digits). The method lexes source and configuration syntax around each `=`, `:`, `:=` and `=>`
-into a name and the terms of its right side (quoted literals, bare words, joined by + or .), keeps what each name was
+(a type note belongs to its name) into a name and the terms of its right side (quoted literals, bare words, joined by + or .), keeps what each name was
 given, follows names that stand for earlier literals, and scores a literal by how sensitive its target's name is and how
 much the literal looks like a drawn value. Literals that reach the threshold and lie outside base spans are added as kind
 literal.
@@ -50,6 +50,24 @@ NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 NAME = re.compile(r"[A-Za-z_$@][\w.\-]*$", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+#: Words of type notes, in lower letters; words of other notes are told by their shape.
+TYPES = frozenset(
+    "str string bytes bytearray byte char wchar_t int integer uint long short float double number bool boolean rune any object unknown auto text"
+    " varchar nvarchar nchar void none undefined null int8 int16 int32 int64 uint8 uint16 uint32 uint64 usize isize u8 u16 u32 u64 i8 i16 i32 i64 f32 f64"
+    " float32 float64 list dict tuple set map array optional union final literal classvar symbol bigint error cstring slice date datetime".split()
+)
+DECLARES = frozenset(["var", "let", "const", "val", "final", "static", "readonly", "public", "private", "protected", "export", "declare", "mut", "unsigned", "signed"])
+#: A note after a colon and before `=`: `: str =`, `: Optional[str] =`, `: string | undefined =`, `: &'static str =`.
+NOTE = re.compile(
+    r"""[ \t]*(?:(["'])(?=[^"'\n=]{1,80}\1))?(&(?:'\w+[ \t]+)?(?:mut[ \t]+)?|\*|\[\])?([A-Za-z_]\w*(?:(?:\.|::)\w+)*)"""
+    r"""((?:\[[^\n=]{0,60}?\](?!\])|<[^\n=]{0,60}?>(?!>)|[ \t]*\|[ \t]*[\w.]+|[ \t]*[?*&])*)(?(1)\1)[ \t]*(=(?![=>~]))"""
+)
+#: What stands before `=` in Go and SQL: `name string`, `name []byte`, `name VARCHAR(20)`.
+TYPED = re.compile(r"([A-Za-z_$@][\w.]*)[ \t]+(\[\d*\]|\*)*([A-Za-z_][\w.]*)(?:\(\d+\))?$", re.ASCII)
+SUBSCRIPTS = re.compile(r"([A-Za-z_$@][\w.]*)[ \t]*((?:\[[ \t]*\w*[ \t]*\][ \t]*)+)$", re.ASCII)
+#: Letters before an operator that a name and its notes may take.
+NEAR = 200
+
 
 class Span(NamedTuple):
     start: int
@@ -86,12 +104,28 @@ def strength(value: str) -> float:
     return min(1.0, bits / 4.5 + 0.12 * (classes - 1)) * min(1.0, 0.6 + len(value) / 20)
 
 
+def is_type(word: str) -> bool:
+    """Known words, CamelCase (SecretStr, types.Text) and names in _t."""
+    last = re.split(r"\.|::", word)[-1]
+    return last.lower() in TYPES or last.endswith("_t") or last[:1].isupper() and not last.isupper() and "_" not in last
+
+
 def name_before(text: str, at: int) -> str:
-    """The name that ends before an operator, through closing quotes and brackets and type notes."""
+    """The name that ends before an operator, through closing quotes, subscripts and type notes in front of it."""
+    near = text[max(0, at - NEAR) : at].rpartition("\n")[2].rstrip(" \t")
+    if near.endswith("]") and (m := SUBSCRIPTS.search(near)):
+        inner = m.group(2).strip("[] \t")
+        if not inner or inner.isdigit() or sensitivity(m.group(1)) > sensitivity(inner):
+            return m.group(1)
+    if m := TYPED.search(near):
+        name, shape, word = m.groups()
+        declared = re.search(r"\bvar[ \t]+$", near[: m.start()]) is not None
+        if name.lower() not in DECLARES and name.lower() not in TYPES and (shape == "[]" or word.lower() in TYPES or declared):
+            return name
     end = at
     while end and text[end - 1] in " \t":
         end -= 1
-    while end and text[end - 1] in "\"'`]":
+    while end and text[end - 1] in "\"'`]?!":
         end -= 1
     start = end
     while start and text[start - 1] in NAME_CHARS:
@@ -100,8 +134,14 @@ def name_before(text: str, at: int) -> str:
     return m.group() if m else ""
 
 
+def note_after(text: str, at: int) -> re.Match | None:
+    """The type note that follows a colon at `at`, up to its `=`; None where what follows is a value or another name."""
+    m = NOTE.match(text, at)
+    return m if m and (m.group(1) or m.group(2) or m.group(4) or is_type(m.group(3))) else None
+
+
 def pairs(text: str):
-    """(name, terms, end) of each assignment: terms are (start, end, quoted)."""
+    """(name, terms) of each assignment: terms are (start, end, quoted). A name and its type note are one target."""
     at = 0
     while m := OPERATOR.search(text, at):
         at = m.end()
@@ -112,6 +152,9 @@ def pairs(text: str):
         name = name_before(text, m.start())
         if not name:
             continue
+        note = note_after(text, at) if m.group() == ":" else None
+        if note:
+            at = note.end()
         terms, pos = [], at
         while t := TERM.match(text, pos):
             g = next(i for i in (1, 2, 3, 4) if t.group(i) is not None)
@@ -122,6 +165,8 @@ def pairs(text: str):
             pos = j.end()
         if terms:
             yield name, terms
+            if note and sensitivity(note.group(3)):
+                yield f"{name}:{note.group(3)}", terms  # a telling type; no name is so written, so none stands for it
             if terms[-1][2]:
                 at = max(at, pos)
 
@@ -167,9 +212,16 @@ def line(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
 
+def is_note(text: str, span: Span) -> bool:
+    """Whether an assign span's value is the type note of a target."""
+    colon = text.rfind(":", span.start, span.value_start)
+    note = note_after(text, colon + 1) if colon >= 0 else None
+    return note is not None and span.value_start <= note.start(3) < span.value_end <= note.start(5)
+
+
 def redacted(text: str | None, mark: str = "[REDACTED]") -> str | None:
     """The text with each secret's value replaced by mark; a base span's name and operator stay."""
-    spans = sorted((s.value_start, s.value_end) for s in scan(text))
+    spans = sorted((s.value_start, s.value_end) for s in scan(text) if not (s.kind == "assign" and is_note(text, s)))
     if not spans:
         return text
     out, at = [], 0

@@ -76,6 +76,29 @@ def test_secret_method():
     assert secrets.redacted("nothing here") == "nothing here" and secrets.redacted(None) is None
 
 
+TYPED_SECRETS = [
+    'db_password: str = "hunter2Xy9"', 'db_pwd: Optional[str] = "hunter2Xy9"', 'db_pwd: dict[str, list[str]] = "hunter2Xy9"', "db_pwd: 'str' = 'hunter2Xy9'", 'db_pwd: str | None = "hunter2Xy9"',
+    "apiKey: string = 'hunter2Xy9'", "let authToken: string | undefined = 'hunter2Xy9'", "private_key?: Foo.Bar = `hunter2Xy9`", "const pwd: Array<string> = 'hunter2Xy9'",
+    'var dbPassword string = "hunter2Xy9"', 'var dbPassword []byte = "hunter2Xy9"', 'const dbPwd string = "hunter2Xy9"', 'var dbPwd Secret = "hunter2Xy9"', '\tdbPwd string = "hunter2Xy9"',
+    'char password[] = "hunter2Xy9";', 'static const char password[MAX_LEN] = "hunter2Xy9";', 'char db_pwd[32] = "hunter2Xy9";', 'const char *db_pwd = "hunter2Xy9";', 'std::string db_pwd = "hunter2Xy9";',
+    "let db_pwd: &'static str = \"hunter2Xy9\";", 'val dbPwd: String = "hunter2Xy9"', "DECLARE @pwd VARCHAR(20) = 'hunter2Xy9'", 'conn: db_pwd = "hunter2Xy9"', 'config["db_pwd"] = "hunter2Xy9"', 'config[db_pwd] = "hunter2Xy9"',
+]
+
+
+@pytest.mark.parametrize("line", TYPED_SECRETS)
+def test_typed_secrets(line):
+    for text in (line, 'host: str = "Prod7xQz19"\nvar name string = "Prod7xQz19"\n' + line + "\n"):
+        assert [text[s.value_start : s.value_end] for s in secrets.scan(text) if "hunter" in text[s.value_start : s.value_end]] == ["hunter2Xy9"]
+        assert secrets.redacted(text) == text.replace("hunter2Xy9", "[REDACTED]")
+
+
+def test_type_words_are_no_names():
+    assert "str" not in dict(secrets.pairs('host: str = "Prod7xQz19"\ndb_password: str = other'))
+    assert secrets.redacted('host: str = "Prod7xQz19"\nport: int = 8080\ndef f(x: str = "Abc123xyz9"): pass') == 'host: str = "Prod7xQz19"\nport: int = 8080\ndef f(x: str = "Abc123xyz9"): pass'
+    assert secrets.redacted('if token: value = "Abc123xyz9"') == 'if token: value = "Abc123xyz9"'
+    assert secrets.redacted('key: str = "q8Zm2Lp0Xx11Rt"\ndb_pwd: str = key') == 'key: str = "[REDACTED]"\ndb_pwd: str = key'
+
+
 def test_secret_frames(spark):
     df = frame(spark, SECRET, lang="en", source="s", kind="k").withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
