@@ -1,20 +1,25 @@
 """Document fingerprints of closed syncmers, in DataFrame operations alone.
 
-A text's words (runs without ASCII white space; in texts with a run of over LONGEST characters, pieces of PIECE) are
-hashed; an s-mer is SMALL words in a row, a k-mer LARGE. A k-mer is a closed syncmer if the least of its s-mers is the
-first or the last: a property of the k-mer alone, so that an edit changes no anchor that it does not touch. Of a text's
-distinct syncmers the SKETCH with the least hashes are its fingerprint, each with the place of its first word in the low
-POSITION_BITS bits. likeness() estimates the Jaccard similarity of two texts' syncmers from two fingerprints;
-with_aligned() matches anchors by place: the share of common anchors at their middle shift.
-
-The next document in descending order comes by one exchange: ids are cut into ranges of about RANGE_ROWS (a grid of
-GRID cells, dense cells cut finer; at most MAX_RANGES), each range is sorted within a window, and the first document of the
-next range travels to it as a guest. Only the grid's counts and each range's largest id leave the executors' shuffles.
+A text's words are hashed; an s-mer is SMALL words in a row, a k-mer LARGE. A k-mer is a closed syncmer if the least of its
+s-mers is the first or the last: a property of the k-mer alone, so that an edit changes no anchor that it does not touch.
+Of a text's distinct syncmers the SKETCH with the least hashes are its fingerprint (all of them where sketch is None), each
+with the place of its first word in the low POSITION_BITS bits, which hold any place that a text of 2^31 bytes has.
+likeness() estimates the Jaccard similarity of two texts' syncmers from two fingerprints; with_aligned() matches anchors by
+place: the share of common anchors at their middle shift.
+
+Words are cut by what stands beside a cut, at any length of text: at ASCII white space; around each character of a script
+that is written without blanks; and, AROUND characters or more from both ends of a run without white space, behind a
+character of BREAKS. So addresses, hashes and minified lines fall into pieces that an edit elsewhere leaves as they are.
+
+The next document in descending order comes by one exchange of texts. The keys alone (doc_id and a hash of the text) are
+sorted; each RANGE_ROWS-th begins a range (at most MAX_RANGES, or one for each sort partition). A row finds its range by
+binary search; ranges are sorted within a window, and the last row of the range below comes along as a guest. Rows that are
+alike in identifier and text and fill several ranges are spread over them. No arithmetic is done on identifiers.
 
 Defined cases: a null text is empty, with an empty fingerprint; under LARGE words, all words make one anchor; two empty
-fingerprints have likeness 1, an empty and another 0; null ids come last in descending order, and equal ids are ordered by
-their text's hash; a table of one row is its own next; very long texts are hashed whole; an empty table gives an empty
-result; other columns are ignored.
+fingerprints have likeness 1, an empty and another 0; a null id counts as the least long, so it comes last in descending
+order, and equal ids are ordered by their text's hash, descending; a table of one row is its own next; very long texts are
+hashed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +28,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribe.llm.common import table
+from scribe.llm.common import materialise, table
+
+SMALL, LARGE, SKETCH, POSITION_BITS = 2, 5, 64, 28
+AROUND, BREAKS = 16, "048aeiAEI!-/:-@\\[-`{-~"
+RANGE_ROWS, MAX_RANGES = 1500, 100_000
+LEAST_ID = -(1 << 63)
 
-SMALL, LARGE, SKETCH, POSITION_BITS = 2, 5, 64, 20
-LONGEST, PIECE = 64, 16
-GRID, RANGE_ROWS, MAX_RANGES = 1024, 1500, 100_000
+#: Thai and Lao, Myanmar, Khmer, kana, Han of the basic plane.
+UNSPACED = "\\x{E00}-\\x{EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}"
+#: White space, and what a run is made of: characters above it, of one UTF-16 unit.
+BLANK, SOLID = "[\\x20\\x09-\\x0D]", "[!-\\x{D7FF}\\x{E000}-\\x{FFFF}]"
 
 
 def words(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(f"([^\\x20\\x09-\\x0D]{{1,{PIECE}}})"), 1)
-    return F.when(text.rlike(f"[^\\x20\\x09-\\x0D]{{{LONGEST + 1}}}"), pieces).otherwise(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    # Where no run is long enough for a break and no unspaced script stands, blanks are the only cuts: the same words, sooner.
+    plain = ~text.rlike(f"(?<!{SOLID}){SOLID}{{{2 * AROUND}}}|[{UNSPACED}]")
+    cuts = f"{BLANK}+|(?<=[{UNSPACED}])|(?=[{UNSPACED}])|(?<={SOLID}{{{AROUND - 1}}}[{BREAKS}])(?={SOLID}{{{AROUND}}})"
+    return F.filter(F.when(plain, F.split(text, f"{BLANK}+")).otherwise(F.split(text, cuts)), lambda w: w != "")
 
 
 def turned(x: Column) -> Column:
     return F.shiftleft(x, 1).bitwiseOR(F.shiftrightunsigned(x, 63))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, sketch: int | None = SKETCH) -> DataFrame:
     """Adds the array of anchors of a text column (not null): hash in the high bits, place in the low ones, sorted."""
     w, s, v = f"_{name}_w", f"_{name}_s", f"_{name}_v"
     inner = LARGE - SMALL  # s-mers of a k-mer, less one
@@ -54,14 +67,14 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         between = F.least(*(F.get(s, i + k) for k in range(1, inner)))
         edge = (between >= x) | (between >= last)
         kmer = F.xxhash64(x, F.get(s, i + SMALL), last)
-        return F.when(edge, kmer.bitwiseAND(F.lit(~low)).bitwiseOR(F.least(i, F.lit(low)).cast("long")))
+        return F.when(edge, kmer.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
 
     picked = F.sort_array(F.filter(F.transform(F.slice(s, 1, F.greatest(F.size(s) - inner, F.lit(0))), anchor), lambda x: x.isNotNull()))
     out = out.withColumn(v, picked)
     high = lambda x: F.shiftright(x, POSITION_BITS)
     distinct = F.filter(v, lambda x, i: (i == 0) | (high(x) != high(F.get(v, i - 1))))
     whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w).bitwiseAND(F.lit(~low)))).otherwise(F.array().cast("array<long>"))
-    return out.withColumn(name, F.when(F.size(w) >= LARGE, F.slice(distinct, 1, SKETCH)).otherwise(whole)).drop(w, s, v)
+    return out.withColumn(name, F.when(F.size(w) >= LARGE, distinct if sketch is None else F.slice(distinct, 1, sketch)).otherwise(whole)).drop(w, s, v)
 
 
 def hashes(anchors: Column) -> Column:
@@ -91,42 +104,70 @@ def text_of(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda x: F.lower(F.hex(x))), ".")
 
 
-def with_ranges(rows: DataFrame, key: str) -> DataFrame:
-    """Adds range (long): ranges follow the key's order and hold about RANGE_ROWS rows where ids allow."""
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(key)).first()
-    if not n:
-        return rows.withColumn("range", F.lit(0).cast("long"))
-    width = (hi - lo) // GRID + 1
-    cell = F.floor((F.col(key) - lo) / width).cast("int") if width > 1 else (F.col(key) - lo).cast("int")
-    cell = F.least(cell, F.lit(GRID - 1))
-    counts = {r.cell: r.n for r in rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # at most GRID
-    per = max(RANGE_ROWS, n // MAX_RANGES)
-    cuts = [min(width, -(-counts.get(c, 0) // per)) or 1 for c in range(GRID)]
-    base = [0]
-    for c in cuts:
-        base.append(base[-1] + c)
-    bases, parts = (F.array(*(F.lit(x) for x in xs)) for xs in (base[:-1], cuts))
-    within = F.col(key) - lo - F.col("_cell").cast("long") * width
-    share = F.floor(within * F.get(parts, F.col("_cell")) / width)
-    return rows.withColumn("_cell", cell).withColumn("range", (F.get(bases, F.col("_cell")) + share).cast("long")).drop("_cell")
+def longs(values: list[int]) -> Column:
+    """An array the optimizer folds to one literal, however many values it has."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+class Ranges:
+    """Ranges of the order (key, tag): where each begins, and how many ranges rows alike in both fill there."""
+
+    def __init__(self, rows: DataFrame):
+        n = rows.count()
+        per = max(RANGE_ROWS, n // MAX_RANGES)
+        spread = rows.select("key", "tag").orderBy("key", "tag", F.monotonically_increasing_id())  # so that rows alike part
+        self.order = materialise(spread.select("key", "tag", F.monotonically_increasing_id().alias("place")), "syncmer-order")
+        within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))  # the low bits count a sort partition's rows
+        cuts = self.order.where(within % per == 0).groupBy("key", "tag").agg(F.count("*").alias("n")).orderBy("key", "tag").collect()
+        self.keys, self.tags, self.fill = [r.key for r in cuts], [r.tag for r in cuts], [r.n for r in cuts]
+        self.first = [0]
+        for many in self.fill:
+            self.first.append(self.first[-1] + many)
+
+    def number(self) -> Column:
+        """The last beginning that is not beyond a row, from 0: a binary search."""
+        keys, tags = longs(self.keys), longs(self.tags)
+        steps = [1 << b for b in reversed(range(len(self.keys).bit_length()))]
+
+        def step(at: Column, by: Column) -> Column:
+            key, tag = F.get(keys, at + by), F.get(tags, at + by)
+            return F.when((key < F.col("key")) | ((key == F.col("key")) & (tag <= F.col("tag"))), at + by).otherwise(at)
+
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), step)
+
+    def seat(self) -> Column:
+        """A row's range; rows equal to a beginning are spread by salt over the ranges that they fill."""
+        at = F.col("number")
+        own = (F.get(longs(self.keys), at) == F.col("key")) & (F.get(longs(self.tags), at) == F.col("tag"))
+        many, first = F.get(longs(self.fill), at), F.get(longs(self.first), at)
+        return first + F.when(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), many)).otherwise(many - 1)
+
+    def hosts(self) -> DataFrame:
+        """key, tag, hosts: the ranges to which the last row of a range goes as a guest; beyond the last comes the first."""
+        tops = self.order.withColumn("number", self.number()).groupBy("number").agg(F.max(F.struct("key", "tag")).alias("top"))
+        after = F.get(longs(self.first), F.pmod(F.col("number") + 1, F.lit(len(self.keys))))
+        ends = tops.select("top.key", "top.tag", after.alias("host"))
+        starts = self.order.sparkSession.range(len(self.keys)).withColumn("id", F.col("id").cast("int"))
+        many, first = F.get(longs(self.fill), F.col("id")), F.get(longs(self.first), F.col("id"))
+        alike = starts.where(many > 1).select(F.get(longs(self.keys), F.col("id")).alias("key"), F.get(longs(self.tags), F.col("id")).alias("tag"), F.explode(F.sequence(first + 1, first + many - 1)).alias("host"))
+        return ends.unionByName(alike).groupBy("key", "tag").agg(F.collect_list("host").alias("hosts"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, its fingerprint and that of its edited text, the next document's, and likenesses."""
-    low = docs.agg(F.min(F.col(id_col).cast("long"))).first()[0]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_ranges(own.withColumn("key", F.coalesce("doc_id", F.lit((low or 0) - 1).cast("long"))), "key")
-    # A range's first document follows the last of the range above; the topmost follows the lowest.
-    tops = own.groupBy("range").agg(F.max("key").alias("key"))
-    down = W.orderBy(F.desc("range"))
-    above = F.coalesce(F.lag("range").over(down), F.min("range").over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    guests = tops.select("key", above.alias("host"))  # at most MAX_RANGES + GRID rows
-    seats = F.array(F.struct(F.col("range").alias("seat"), F.lit(0).alias("guest")))
-    seats = F.when(F.col("host").isNull(), seats).otherwise(F.array_append(seats, F.struct(F.col("host").alias("seat"), F.lit(1).alias("guest"))))
-    marked = with_fingerprint(own, "text", "own")
-    seated = marked.join(F.broadcast(guests), "key", "left").select("doc_id", "key", "text", "own", F.explode(seats).alias("s")).select("doc_id", "key", "text", "own", "s.seat", "s.guest")
-    order = W.partitionBy("seat").orderBy("guest", F.desc("key"), F.xxhash64("text"))
-    follow = seated.select("*", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next")).where("guest = 0")
+    own = own.withColumns({"key": F.coalesce("doc_id", F.lit(LEAST_ID)), "tag": F.xxhash64("text")})
+    ranges = Ranges(own)
+    if not ranges.keys:
+        seated = own.withColumns({"seat": F.lit(0).cast("long"), "guest": F.lit(0)})
+    else:
+        hosts = F.broadcast(ranges.hosts())  # at most MAX_RANGES and the sort's partitions, twice
+        guests = own.join(hosts, ["key", "tag"]).groupBy("key", "tag").agg(F.first("text").alias("text"), F.first("hosts").alias("hosts"))
+        guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", "tag", F.explode("hosts").alias("seat"), F.lit(1).alias("guest"))
+        seated = own.withColumn("number", ranges.number()).select("doc_id", "text", "key", "tag", ranges.seat().alias("seat"), F.lit(0).alias("guest")).unionByName(guests)
+    marked = with_fingerprint(seated, "text", "own")
+    order = W.partitionBy("seat").orderBy(F.desc("guest"), "key", "tag")
+    follow = marked.select("*", F.lag("text").over(order).alias("next_text"), F.lag("own").over(order).alias("next")).where("guest = 0")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edits = follow.select("doc_id", "own", "next", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
