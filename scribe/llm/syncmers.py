@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribe.llm.common import materialise, table
+from scribe.llm.common import table
 
 SMALL, LARGE, SKETCH, POSITION_BITS = 2, 5, 64, 28
 AROUND, BREAKS = 16, "048aeiAEI!-/:-@\\[-`{-~"
@@ -115,10 +115,11 @@ class Ranges:
     def __init__(self, rows: DataFrame):
         n = rows.count()
         per = max(RANGE_ROWS, n // MAX_RANGES)
-        spread = rows.select("key", "tag").orderBy("key", "tag", F.monotonically_increasing_id())  # so that rows alike part
-        self.order = materialise(spread.select("key", "tag", F.monotonically_increasing_id().alias("place")), "syncmer-order")
-        within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))  # the low bits count a sort partition's rows
-        cuts = self.order.where(within % per == 0).groupBy("key", "tag").agg(F.count("*").alias("n")).orderBy("key", "tag").collect()
+        # In order; the last part of it parts rows that are alike. The low bits of a place count the rows of a sort partition.
+        self.rows = rows.select("key", "tag")
+        order = self.rows.orderBy("key", "tag", F.monotonically_increasing_id()).select("key", "tag", F.monotonically_increasing_id().alias("place"))
+        within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+        cuts = order.where(within % per == 0).groupBy("key", "tag").agg(F.count("*").alias("n")).orderBy("key", "tag").collect()
         self.keys, self.tags, self.fill = [r.key for r in cuts], [r.tag for r in cuts], [r.n for r in cuts]
         self.first = [0]
         for many in self.fill:
@@ -144,10 +145,10 @@ class Ranges:
 
     def hosts(self) -> DataFrame:
         """key, tag, hosts: the ranges to which the last row of a range goes as a guest; beyond the last comes the first."""
-        tops = self.order.withColumn("number", self.number()).groupBy("number").agg(F.max(F.struct("key", "tag")).alias("top"))
+        tops = self.rows.withColumn("number", self.number()).groupBy("number").agg(F.max(F.struct("key", "tag")).alias("top"))
         after = F.get(longs(self.first), F.pmod(F.col("number") + 1, F.lit(len(self.keys))))
         ends = tops.select("top.key", "top.tag", after.alias("host"))
-        starts = self.order.sparkSession.range(len(self.keys)).withColumn("id", F.col("id").cast("int"))
+        starts = self.rows.sparkSession.range(len(self.keys)).withColumn("id", F.col("id").cast("int"))
         many, first = F.get(longs(self.fill), F.col("id")), F.get(longs(self.first), F.col("id"))
         alike = starts.where(many > 1).select(F.get(longs(self.keys), F.col("id")).alias("key"), F.get(longs(self.tags), F.col("id")).alias("tag"), F.explode(F.sequence(first + 1, first + many - 1)).alias("host"))
         return ends.unionByName(alike).groupBy("key", "tag").agg(F.collect_list("host").alias("hosts"))
