@@ -2,13 +2,17 @@
 
 Base kinds, leftmost and non-overlapping: assign (a name of five, an operator, a value of 6 or more), access (AKIA keys of
 20 or more), hex (24 or more digits). The method lexes source and configuration syntax around each `=`, `:`, `:=` and `=>`
-(a type note belongs to its name) into a name and the terms of its right side (quoted literals, bare words, joined by + or .), keeps what each name was
-given, follows names that stand for earlier literals, and scores a literal by how sensitive its target's name is and how
-much the literal looks like a drawn value. Literals that reach the threshold and lie outside base spans are added as kind
-literal.
+(a type note belongs to its name) into a name and the terms of its right side (quoted literals, bare words, joined by + or
+.), keeps what each name was given, follows names that stand for earlier literals, and scores a literal by how sensitive its
+target's name is and how much the literal looks like a drawn value. Literals that reach the threshold and lie outside base
+spans are added as kind literal.
 
-Defined cases: a null or empty text has no spans; every row gets one result; very long texts are lexed whole (all passes
-are linear but for lines with many unclosed quotes); rows repeated are scanned each; other columns are ignored.
+Lexing goes forward once. A bare word ends at white space, brackets, quotes and separators, at `&name=`, and where a
+sensitive name and its operator stand within it; other operators within it belong to it. So no two values share a letter,
+and what is known of a value (its letters' counts) is found once and added up where names are joined: all passes are linear.
+
+Defined cases: a null or empty text has no spans; every row gets one result; very long texts are lexed whole; rows repeated
+are scanned each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +20,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,7 +51,10 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|true|false|undefined
 THRESHOLD = 0.55
 
 OPERATOR = re.compile(r":=|=>|[=:]")
-TERM = re.compile(r"""[ \t]*(?:[fFrRbBuU]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([^\s"'`,;#(){}\[\]<>]+))""")
+QUOTED = re.compile(r"""[fFrRbBuU]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
+BARE = re.compile(r"""(?=[^\s"'`,;#(){}\[\]<>])[^\s"'`,;#(){}\[\]<>&]*(?:&(?![\w.%\-]*=)[^\s"'`,;#(){}\[\]<>&]*)*""")
+OPENS = frozenset("\"'`fFrRbBuU")
+GAP = re.compile(r"[ \t]*")
 JOIN = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.")
 NAME = re.compile(r"[A-Za-z_$@][\w.\-]*$", re.ASCII)
@@ -88,20 +98,48 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+@lru_cache(4096)
 def sensitivity(name: str) -> float:
     words = [w.lower() for w in WORDS.findall(name)]
     single = max((SENSITIVE.get(w, 0.0) for w in words), default=0.0)
     return max([single, *(SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:]))])
 
 
-def strength(value: str) -> float:
-    """0 to 1: how much a literal looks like a drawn value rather than a word, a number or a place holder."""
-    if len(value) < LEAST_VALUE or PLACEHOLDERS.match(value) or len(set(value)) < 4 or any(c.isspace() for c in value):
+class Marks(NamedTuple):
+    """What is known of a value's letters."""
+
+    counts: Counter
+    placeholder: bool
+
+
+class Value:
+    """What a name stands for: a literal's place, or other values in a row."""
+
+    __slots__ = ("start", "end", "parts", "known")
+
+    def __init__(self, start: int, end: int, parts: tuple[Value, ...] = ()):
+        self.start, self.end, self.parts, self.known = start, end, parts, None
+
+    def marks(self, text: str) -> Marks:
+        """Found once. Parts are older than what is made of them and have theirs by then."""
+        if self.known is None:
+            if self.parts:
+                own = [p.marks(text) for p in self.parts]
+                self.known = Marks(sum((m.counts for m in own), Counter()), all(m.placeholder for m in own))
+            else:
+                word = text[self.start : self.end]
+                self.known = Marks(Counter(word), PLACEHOLDERS.match(word) is not None)
+        return self.known
+
+
+def strength(marks: Marks) -> float:
+    """0 to 1: how much a value looks like a drawn one rather than a word, a number or a place holder."""
+    size = marks.counts.total()
+    if size < LEAST_VALUE or marks.placeholder or len(marks.counts) < 4 or any(c.isspace() for c in marks.counts):
         return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, bits / 4.5 + 0.12 * (classes - 1)) * min(1.0, 0.6 + len(value) / 20)
+    bits = -sum(n / size * math.log2(n / size) for n in marks.counts.values())
+    classes = sum(any(f(c) for c in marks.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in marks.counts)
+    return min(1.0, bits / 4.5 + 0.12 * (classes - 1)) * min(1.0, 0.6 + size / 20)
 
 
 def is_type(word: str) -> bool:
@@ -110,18 +148,30 @@ def is_type(word: str) -> bool:
     return last.lower() in TYPES or last.endswith("_t") or last[:1].isupper() and not last.isupper() and "_" not in last
 
 
-def name_before(text: str, at: int) -> str:
-    """The name that ends before an operator, through closing quotes, subscripts and type notes in front of it."""
-    near = text[max(0, at - NEAR) : at].rpartition("\n")[2].rstrip(" \t")
+def name_before(text: str, at: int) -> tuple[str, int]:
+    """The name that ends before an operator, through closing quotes, subscripts and type notes in front of it; its start."""
+    start = at
+    while start and text[start - 1] in NAME_CHARS:
+        start -= 1
+    if start < at and (not start or text[start - 1] not in " \t"):  # no type can stand in front
+        m = NAME.search(text[start:at])
+        return (m.group(), start + m.start()) if m else ("", at)
+    low = max(0, at - NEAR)
+    low = max(low, text.rfind("\n", low, at) + 1)
+    near = text[low:at].rstrip(" \t")
     if near.endswith("]") and (m := SUBSCRIPTS.search(near)):
         inner = m.group(2).strip("[] \t")
         if not inner or inner.isdigit() or sensitivity(m.group(1)) > sensitivity(inner):
-            return m.group(1)
-    if m := TYPED.search(near):
+            return m.group(1), low + m.start()
+    last = max(near.rfind(" "), near.rfind("\t"))  # stands between a name and its type
+    head = len(near[: max(0, last)].rstrip(" \t"))
+    while last > 0 and head and (near[head - 1].isalnum() or near[head - 1] in "_.$@"):
+        head -= 1
+    if last > 0 and (m := TYPED.search(near, head)):
         name, shape, word = m.groups()
         declared = re.search(r"\bvar[ \t]+$", near[: m.start()]) is not None
         if name.lower() not in DECLARES and name.lower() not in TYPES and (shape == "[]" or word.lower() in TYPES or declared):
-            return name
+            return name, low + m.start()
     end = at
     while end and text[end - 1] in " \t":
         end -= 1
@@ -131,7 +181,7 @@ def name_before(text: str, at: int) -> str:
     while start and text[start - 1] in NAME_CHARS:
         start -= 1
     m = NAME.search(text[start:end])
-    return m.group() if m else ""
+    return (m.group(), start + m.start()) if m else ("", at)
 
 
 def note_after(text: str, at: int) -> re.Match | None:
@@ -141,58 +191,79 @@ def note_after(text: str, at: int) -> re.Match | None:
 
 
 def pairs(text: str):
-    """(name, terms) of each assignment: terms are (start, end, quoted). A name and its type note are one target."""
+    """(name, its sensitivity, terms) of each assignment: terms are [start, end, quoted]. A name and its type note are one target."""
     at = 0
+    open_, stop = None, 0  # the last pair while its bare word may still be cut short; where the last bare word met ends
     while m := OPERATOR.search(text, at):
         at = m.end()
         after, before = text[at : at + 1], text[m.start() - 1 : m.start()] if m.start() else ""
         if after == "=" or before in "=!<>:+*/" and before or m.group() == ":" and after in (":", "/"):
             at += after == "="
             continue
-        name = name_before(text, m.start())
+        name, first = name_before(text, m.start())
         if not name:
             continue
+        weight = sensitivity(name)
+        if open_ and m.start() < stop:
+            word = open_[2][-1]
+            if not weight or first < word[0]:
+                continue
+            word[1] = first
+        if open_:
+            yield open_
+            open_ = None
         note = note_after(text, at) if m.group() == ":" else None
         if note:
             at = note.end()
+            weight = max(weight, sensitivity(note.group(3)))
         terms, pos = [], at
-        while t := TERM.match(text, pos):
-            g = next(i for i in (1, 2, 3, 4) if t.group(i) is not None)
-            terms.append((t.start(g), t.end(g), g != 4))
-            pos = t.end()
-            if g == 4 or not (j := JOIN.match(text, pos)):
+        while True:
+            pos = GAP.match(text, pos).end()
+            if text[pos : pos + 1] in OPENS and (q := QUOTED.match(text, pos)):
+                g = q.lastindex
+                terms.append([q.start(g), q.end(g), True])
+                pos = at = q.end()
+                if not (j := JOIN.match(text, pos)):
+                    break
+                pos = j.end()
+            else:
+                if pos >= stop and (w := BARE.match(text, pos)):
+                    stop = w.end()
+                if pos < stop:
+                    terms.append([pos, stop, False])
                 break
-            pos = j.end()
-        if terms:
-            yield name, terms
-            if note and sensitivity(note.group(3)):
-                yield f"{name}:{note.group(3)}", terms  # a telling type; no name is so written, so none stands for it
-            if terms[-1][2]:
-                at = max(at, pos)
-
-
-def literal_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach sensitive names, directly or through other names."""
-    held: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    for name, terms in pairs(text):
+        if terms and terms[-1][2]:
+            yield name, weight, terms
+        elif terms:
+            open_ = (name, weight, terms)
+    if open_:
+        yield open_
+
+
+def literal_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the literals that reach sensitive names, directly or through other names, and look drawn enough."""
+    held: dict[str, Value] = {}
+    found: dict[int, Value] = {}
+    for name, weight, terms in pairs(text):
         values = []
         for start, end, quoted in terms:
-            word = text[start:end].rstrip(".,;")
-            if quoted:
-                values.append((start, end))
-            elif word in held:
-                values += held[word]  # a constant that stands for its literals
-            elif not quoted:
-                values.append((start, start + len(word)))
-        held[name] = values = list(dict.fromkeys(values))
-        if weight := sensitivity(name):
-            whole = "".join(text[a:b] for a, b in values)
-            grade = weight * strength(whole)
-            for v in values:
-                if v[0] < v[1]:
-                    best[v] = max(best.get(v, 0.0), grade)
-    return [(a, b, s) for (a, b), s in best.items() if s >= THRESHOLD]
+            word = "" if quoted else text[start:end].rstrip(".,;")
+            if word in held:
+                values.append(held[word])  # a constant that stands for its literals
+            else:
+                values.append(Value(start, end if quoted else start + len(word)))
+        own = values[0] if len(values) == 1 else Value(0, 0, tuple(values))
+        if len(values) > 1:
+            own.marks(text)
+        held[name] = own
+        if weight and weight * strength(own.marks(text)) >= THRESHOLD:
+            todo = [own]
+            while todo:
+                v = todo.pop()
+                if id(v) not in found:
+                    found[id(v)] = v
+                    todo += v.parts
+    return sorted({(v.start, v.end) for v in found.values() if v.start < v.end})
 
 
 def scan(text: str | None) -> list[Span]:
@@ -202,8 +273,11 @@ def scan(text: str | None) -> list[Span]:
     spans = base_spans(text)
     if "=" in text or ":" in text:
         covered = sorted((s.start, s.end) for s in spans)
-        for a, b, _ in literal_spans(text):
-            if not any(x < b and a < y for x, y in covered):
+        starts = [a for a, _ in covered]
+        reach = list(accumulate((b for _, b in covered), max))  # how far spans go that start no later
+        for a, b in literal_spans(text):
+            before = bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
                 spans.append(Span(a, b, "literal", a, b))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 import pytest
@@ -93,12 +94,41 @@ def test_typed_secrets(line):
 
 
 def test_type_words_are_no_names():
-    assert "str" not in dict(secrets.pairs('host: str = "Prod7xQz19"\ndb_password: str = other'))
+    assert "str" not in [name for name, _, _ in secrets.pairs('host: str = "Prod7xQz19"\ndb_password: str = other')]
     assert secrets.redacted('host: str = "Prod7xQz19"\nport: int = 8080\ndef f(x: str = "Abc123xyz9"): pass') == 'host: str = "Prod7xQz19"\nport: int = 8080\ndef f(x: str = "Abc123xyz9"): pass'
     assert secrets.redacted('if token: value = "Abc123xyz9"') == 'if token: value = "Abc123xyz9"'
     assert secrets.redacted('key: str = "q8Zm2Lp0Xx11Rt"\ndb_pwd: str = key') == 'key: str = "[REDACTED]"\ndb_pwd: str = key'
 
 
+def test_values_share_no_letter():
+    found = lambda t: [t[s.value_start : s.value_end] for s in secrets.scan(t) if s.kind == "literal"]
+    assert found("/login?db_pwd=q8Zm2Lp0Xx11Rt&next=home&auth=Zz91kQm4Lp") == ["q8Zm2Lp0Xx11Rt", "Zz91kQm4Lp"]
+    assert found("env:db_pwd=q8Zm2Lp0Xx11Rt") == ["q8Zm2Lp0Xx11Rt"]
+    assert found("db_pwd=q8Z&m2Lp0=Xx11Rt") == [] and found("db_pwd=q8Z:m2Lp0&Xx11Rt") == ["q8Z:m2Lp0&Xx11Rt"]
+    for text in ("a=1&pwd:b:c=" * 40, "pwd=a:pwd=b&x=pwd:" * 40):
+        ends = [w for _, _, terms in secrets.pairs(text) for a, b, _ in terms for w in (a, b)]
+        assert ends == sorted(ends)
+
+
+@pytest.mark.parametrize("text", ["a=1&", "a:b:", "token=1&", "pwd:b:", 'a="x" ', "pwd='", "a = b + ", "pwd=a \n", "x[a]=", 'v="k1Zq"+v\n', "secret_x=a1B2c3D4&", "a     =", '"a=', "a[   "])
+def test_lexing_is_linear(text):
+    """Eightfold text takes nothing like 64-fold time: the least of three runs each, in the thread's own seconds."""
+    took = []
+    for size in (1 << 16, 1 << 19):
+        whole, best = text * (size // len(text)), 1e9
+        for _ in range(3 if size < 1 << 18 else 1):
+            at = time.thread_time()
+            secrets.scan(whole)
+            best = min(best, time.thread_time() - at)
+        took.append(best)
+    assert took[1] < 24 * took[0] + 0.05
+
+
+def test_constants_in_long_chains():
+    text = "".join(f'v{i + 1} = "k{i}Zq{i * 7}" + v{i}\npwd = v{i}\n' for i in range(3000))
+    assert len([s for s in secrets.scan(text) if s.kind == "literal"]) > 2900
+
+
 def test_secret_frames(spark):
     df = frame(spark, SECRET, lang="en", source="s", kind="k").withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
