@@ -5,9 +5,9 @@ sum of smoothed log-probabilities of the word's letter groups (1 to 3 letters, w
 of the word itself, held in at most WORD_BOUND. Viterbi over the words of a text, with a price for each change, labels
 spans; the text's language is the one with the most letters in its spans, and its score their share.
 
-The sample is bounded by SAMPLE_ROWS texts a language of at most SAMPLE_CHARS letters, chosen by a hash of doc_id, for the
-MOST_LANGS commonest languages;
-prediction reads whole texts.
+Every language that a label names is learned. The sample is bounded by SAMPLE_ROWS texts a language (fewer where there are
+so many languages that SAMPLE_ALL would be passed, LEAST_ROWS at least), chosen by a hash of doc_id; of a text longer than
+SAMPLE_CHARS it takes a window of that length, whose place a hash chooses. Prediction reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and no spans; with no labelled rows all texts
 are `und`; ties go to the language that sorts first; rows repeated are predicted each; an empty table gives an empty
@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribe.llm.common import arrow_map, crc_mod, least_hashes, table
+from scribe.llm.common import arrow_map, crc_mod, table
 
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGS = 400, 8000, 200
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_ALL, LEAST_ROWS = 400, 8000, 80_000, 10
 SWITCH, WORD_BOUND, SMOOTHING, LEAST_SEEN = 12.0, 8.0, 0.5, 2
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -154,17 +154,17 @@ def viterbi(rows: list[np.ndarray], scores: np.ndarray, price: float = SWITCH) -
     """The best language of each word of each text: all texts step together, longest first."""
     order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
     lengths = np.array([len(rows[i]) for i in order], np.int64)
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(rows)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(rows)
     if not len(order) or not lengths[0]:
         return out
     flat = np.concatenate([rows[i] for i in order])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")  # texts longer than t
-    path = np.zeros(len(flat), np.int8)
-    best = np.zeros(len(flat), np.int8)  # the best language before each word
-    moved = np.zeros((len(flat), scores.shape[1]), bool)
+    path = np.zeros(len(flat), np.int32)
+    best = np.zeros(len(flat), np.int32)  # the best language before each word
+    moved = np.zeros((len(flat), -(-scores.shape[1] // 8)), np.uint8)  # a bit for each language
     value = scores[flat[starts[: live[0]]]].astype(np.float64)
-    ends = np.zeros(len(lengths), np.int8)
+    ends = np.zeros(len(lengths), np.int32)
     for t in range(1, lengths[0]):
         n = live[t]
         if n < len(value):
@@ -174,7 +174,7 @@ def viterbi(rows: list[np.ndarray], scores: np.ndarray, price: float = SWITCH) -
         held = value[np.arange(n), top] - price
         at = starts[:n] + t
         best[at] = top
-        moved[at] = held[:, None] > value
+        moved[at] = np.packbits(held[:, None] > value, axis=1)
         value = np.maximum(value, held[:, None]) + scores[flat[at]]
     ends[: len(value)] = value.argmax(axis=1)
     state = ends
@@ -183,7 +183,8 @@ def viterbi(rows: list[np.ndarray], scores: np.ndarray, price: float = SWITCH) -
         at = starts[:n] + t
         path[at] = state[:n]
         if t:
-            state[:n] = np.where(moved[at, state[:n]], best[at], state[:n])
+            own = state[:n]
+            state[:n] = np.where(moved[at, own >> 3] >> (7 - (own & 7)) & 1, best[at], own)
     for k, i in enumerate(order):
         out[i] = path[starts[k] : starts[k] + lengths[k]]
     return out
@@ -208,19 +209,22 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, lis
 
 
 def sample_of(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS texts of each language, those of the smallest hashes."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    """Texts, or windows of them, of each language: those of the smallest hashes."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.where(allowed) if allowed is not None else rows
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = F.when(F.col("lang") == r.lang, least_hashes(id_col, SAMPLE_ROWS, r.n)).otherwise(chosen)
-    first = W.partitionBy("lang").orderBy(F.xxhash64(id_col), id_col)
-    ids = rows.where(chosen).select(F.col(id_col).alias("i"), "lang", F.row_number().over(first).alias("k")).where(F.col("k") <= SAMPLE_ROWS)
-    held = [r.i for r in ids.select("i").collect()]  # at most MOST_LANGS * SAMPLE_ROWS
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in held] or [(None,)], "i long")  # bounded by the sample
-    found = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), "lang").join(F.broadcast(wanted), "i", "left_semi")
-    return [(r.t, r.lang) for r in found.orderBy("i", "t").limit(MOST_LANGS * SAMPLE_ROWS).collect()]
+    slim = rows.select(F.col(id_col).alias("i"), "lang", F.xxhash64(id_col).alias("h"))
+    counts = slim.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    wanted = max(LEAST_ROWS, min(SAMPLE_ROWS, SAMPLE_ALL // max(1, langs)))
+    # Some three times as many as are wanted, below a bound on their hash, so that no task sorts a language's rows.
+    below = F.when(F.col("n") > 3 * wanted, (F.lit(3.0 * wanted) / F.col("n") - 0.5) * F.lit(2.0**64)).otherwise(F.lit(2.0**63))
+    chosen = slim.join(counts.select("lang", below.alias("below")), "lang").where(F.col("h") <= F.col("below"))
+    first = W.partitionBy("lang").orderBy("h", "i")
+    held = {r.i for r in chosen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= wanted).select("i").collect()}  # at most wanted * langs
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(held)] or [(None,)], "i long")  # bounded by the sample
+    start = F.pmod(F.xxhash64(id_col, F.lit("window")), F.greatest(F.length(text_col) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    found = rows.select(F.col(id_col).alias("i"), F.substring(text_col, start, F.lit(SAMPLE_CHARS)).alias("t"), "lang").join(F.broadcast(ids), "i", "left_semi")
+    return [(r.t, r.lang) for r in found.orderBy("i", "t").limit(wanted * max(1, langs)).collect()]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,9 +234,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def rows(ids: list, texts: list) -> dict:
         got = []
         at = size = 0
+        most = 32_000_000 // max(8, len(cast.value.langs))
         for i, t in enumerate(texts):  # parts of some millions of letters
             size += len(t or "")
-            if size > 4_000_000 or i + 1 == len(texts):
+            if size > most or i + 1 == len(texts):
                 got += predict(cast.value, texts[at : i + 1])
                 at, size = i + 1, 0
         kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
