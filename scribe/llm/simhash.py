@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribe.llm.common import arrow_map, materialise, partitions, table
-from scribe.llm.graph import components
+from scribe.llm.graph import components, least_labels
 
 #: Bits that may differ, and the words of a shingle.
 MOST_BITS, SHINGLE, SEED = 3, 3, 42
@@ -111,20 +111,6 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(own)], ["key", "fp", "own"])
 
 
-def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node reachable from each of n nodes by links a-b."""
-    labels = np.arange(n)
-    while len(a):
-        low = np.minimum(labels[a], labels[b])
-        np.minimum.at(labels, labels[a], low)
-        np.minimum.at(labels, labels[b], low)
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-        open_ = labels[a] != labels[b]
-        a, b = a[open_], b[open_]
-    return labels
-
-
 def near(a: np.ndarray, b: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= most
 
@@ -224,9 +210,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest doc_id."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scribe.llm import exact_dedup, secrets, simhash, toxicity
-from tests.llm.test_dedup import brute_exact, brute_groups
+from scribe.llm import exact_dedup, near_copies, secrets, toxicity
+from tests.llm.test_dedup import brute_exact
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,9 +40,14 @@ def test_dedups_match_brute_force(spark, docs):
     once = exact_dedup.stage(spark, docs, SF)
     want = {k for i, (k, _, _) in brute_exact(rows).items() if k == i}
     assert {r.doc_id for r in once.select("doc_id").collect()} == want
-    small = docs.where("doc_id < 150")
-    own = [(i, t) for i, t in rows if i < 150]
-    assert {r.doc_id for r in simhash.stage(spark, small, SF).select("doc_id").collect()} == {i for i, (_, c) in brute_groups(own).items() if i == c}
+
+
+def test_near_copies_go(spark, docs):
+    words = [f"word{i}" for i in range(120)]
+    text, edited = " ".join(words), " ".join([*words[:60], "changed", *words[61:]])
+    rows = [(7, text), (3, edited), (None, edited + " end"), (5, "another text of its own entirely here"), (5, text), (None, "no copy of anything else at all")]
+    out = near_copies.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(3, edited), (5, rows[3][1]), (0, rows[5][1])])
 
 
 def test_secrets_go(spark, docs):
@@ -66,8 +71,18 @@ def test_run(spark):
 def test_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, None, "s", None), (3, "x" * 50_000, "??", None, 50_000), (4, "stupid moron " * 5, "en", "s", 65)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda out: sorted(((r.doc_id or 0, r.text or "") for r in out.collect()), key=str)
+    long, rude = (3, "x" * 50_000), (4, "stupid moron " * 5)
+    want = {
+        "toxicity": [(0, ""), (1, ""), (1, ""), (2, ""), long], "exact_dedup": [(1, ""), long, rude],
+        "near_dedup": [(1, ""), (1, ""), long, rude], "secret_scan": [(0, ""), (1, ""), (1, ""), (2, ""), long, rude],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = texts(stage(spark, df, SF))
+        assert [x for x in got if x != rude] == [x for x in want[name] if x != rude] and (name == "toxicity" or got == want[name]), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 2, 3, 4} and all(r.n == r.m * (2 if r.doc_id == 1 else 1) for r in packed)
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, df, SF).count() > 0, name
         assert stage(spark, df.limit(0), SF).count() == 0, name
     more = df.withColumn("_digest", F.lit(1)).withColumn("ids", F.lit("z"))
     assert exact_dedup.stage(spark, more, SF).columns == more.columns
