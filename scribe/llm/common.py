@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in a local session (tests) where it is unset."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="scribe-")
         spark.conf.set("spark.checkpoint.dir", held)
         spark.sparkContext.setCheckpointDir(held)
