@@ -344,16 +344,20 @@ def suggest_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", gate.suggestion(message).alias("suggestion"))
 
 
-@query("response_json", "SELECT 'r' || event_id AS request_id, event_type AS language, event_id % 2 = 0 AS auto_corrected, CAST(user_id AS BIGINT) AS user_id FROM events")
+SQL_JSON = """'{"request_id":"r' || event_id || '","language":"' || event_type || '","auto_corrected":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"user_id":' || user_id || '}'"""
+
+
+@query("response_json", f"SELECT event_id, {SQL_JSON} AS body FROM events")
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), "event_id").alias("request_id"), F.col("event_type").alias("language"), (F.col("event_id") % 2 == 0).alias("auto_corrected"), F.col("user_id").cast("long").alias("user_id"))
-    body = rows.select(F.to_json(F.struct(*rows.columns)).alias("body"))
-    return body.select(F.from_json("body", rows.schema).alias("r")).select("r.*")
+    fields = F.concat(F.lit("r"), "event_id").alias("request_id"), F.col("event_type").alias("language"), (F.col("event_id") % 2 == 0).alias("auto_corrected"), F.col("user_id").cast("long").alias("user_id")
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(*fields)).alias("body"))
 
 
 # --- limiter: 6 hours, 3 requests (at 60 seconds and 10 nothing in these tables is denied)
 
 SPAN, MOST = 6 * 3600, 3
+#: Where the stream's input is cut: it is run once for each part, so that its state is carried through restarts.
+CUTS = ("2024-01-08", "2024-01-16", "2024-01-24")
 SQL_LIMITER = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, event_id, n, true AS allowed, [t] AS held FROM e WHERE n = 1
 UNION ALL SELECT e.user_id, e.event_id, e.n, len(list_filter(f.held, lambda x: x > e.t - {SPAN * 1_000_000})) < {MOST},
@@ -370,9 +374,14 @@ def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "limiter")
     source = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    source.write.parquet(f"{folder}/source")
-    stream = spark.readStream.schema(source.schema).parquet(f"{folder}/source")
-    return run_to_table(admit_stream(stream, window=SPAN, most=MOST), folder)
+    part = F.lit(0)
+    for cut in CUTS:
+        part = part + F.when(F.col("ts") >= F.lit(cut).cast("timestamp"), 1).otherwise(0)
+    for k in range(len(CUTS) + 1):
+        source.where(part == k).write.mode("append").parquet(f"{folder}/source")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/source")
+        found = run_to_table(admit_stream(stream, window=SPAN, most=MOST), folder)
+    return found
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -380,7 +389,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    held = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scribe-")
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        held = tempfile.mkdtemp(prefix="scribe-")
     return f"{held.rstrip('/')}/scribe/{name}-{uuid.uuid4().hex}"
 
 
@@ -527,20 +540,30 @@ def correct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct_syntax(rows).select("doc_id", "corrected", "ok", F.size(F.coalesce("diagnostics", F.array())).alias("n_diagnostics"))
 
 
-@query("evaluate_pages")
+#: A band of ink of h rows is cut out with a row on each side; the page is 200 wide; odd bands are indented.
+SQL_LINE = "repeat('    ', i % 2) || 'x = ' || (200 * (14 + (s_suppkey + i) % 5))"
+SQL_PAGE = f"(SELECT s_suppkey, 1 + s_suppkey % 4 AS n, array_to_string(list_transform(range(1 + s_suppkey % 4), lambda i: {SQL_LINE}), chr(10)) AS body FROM supplier)"
+
+
+@query(
+    "evaluate_pages",
+    f"""SELECT CAST(s_suppkey AS VARCHAR) AS request_id, 200 AS http_status, CAST(NULL AS VARCHAR) AS error, body AS recognized_text, body AS corrected_text, n = 1 AS auto_corrected,
+    '' AS stdout, 'Execution is refused: no executor was given.' AS stderr, 'error' AS execution_status, false AS stdout_truncated, false AS stderr_truncated, 0 AS original_stdout_length,
+    44 AS original_stderr_length, 'python' AS language, 'none' AS sandbox_mode FROM {SQL_PAGE}""",
+)
 def evaluate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small drawn pages, one for each nation, through cleaning, segmentation, a stub recogniser, correction and refused execution."""
+    """Small drawn pages, one for each supplier, through cleaning, segmentation, a stub recogniser, correction and refused execution."""
     import pandas as pd
 
     from scribe.sources.images import page
 
     def draw(parts):
         for part in parts:
-            pages = [page([(20 + 30 * i, 15, 10 + 30 * (i % 2)) for i in range(1 + k % 4)], 150, 200) for k in part["n_nationkey"]]
-            yield pd.DataFrame({"image_id": part["n_nationkey"].astype(str), "height": 150, "width": 200, "channels": 1, "data": [p.tobytes() for p in pages]})
+            pages = [page([(20 + 30 * i, 12 + (k + i) % 5, 10 + 30 * (i % 2)) for i in range(1 + k % 4)], 150, 200) for k in part["s_suppkey"]]
+            yield pd.DataFrame({"image_id": part["s_suppkey"].astype(str), "height": 150, "width": 200, "channels": 1, "data": [p.tobytes() for p in pages]})
 
-    images = table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(draw, "image_id string, height int, width int, channels int, data binary")
-    return evaluate(images).drop("diagnostics")
+    images = table(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(draw, "image_id string, height int, width int, channels int, data binary")
+    return evaluate(images).drop("diagnostics", "processing_time")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,13 @@ WINDOW_SECONDS, MOST_REQUESTS = 60, 10
 def admitted(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", window: int = WINDOW_SECONDS, most: int = MOST_REQUESTS) -> DataFrame:
     """key, order, allowed for each event, in the order (ts, order); an admission exactly window old has left."""
     spark = events.sparkSession
-    rows = events.select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("id"))
+    plain = {c: F.col(c) if events.schema[c].dataType.simpleString() == "string" else F.col(c).cast("long") for c in (key, order)}
+    rows = events.select(plain[key].alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), plain[order].alias("id"))
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "t", "id")
     span = window * 1_000_000
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, deque()
+        last, held = object(), deque()
         for batch in batches:
             keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = np.zeros(len(keys), bool)
@@ -40,5 +41,6 @@ def admitted(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str
                     out[i] = True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["key", "id", "allowed"])
 
-    out = dealt.mapInArrow(fold, "key long, id long, allowed boolean")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = dealt.mapInArrow(fold, f"key {kind['key']}, id {kind['id']}, allowed boolean")
     return out.select(F.col("key").alias(key), F.col("id").alias(order), "allowed")
