@@ -53,14 +53,13 @@ def forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node that has an edge; root is the smallest node it can reach. edges: u, v long, any order.
 
-    Edges meet by their larger node first, and each task keeps a forest of its own: a group whose members met in many
+    Edges meet by their u first (the member of a star, so that hubs are spread), and each task keeps a forest of its own: a group whose members met in many
     places is as many edges as members from then on, but for its few centres.
     A round links each node's larger neighbours to its smallest one, then likewise the smaller ones; each round is a
     written table. Hubs are met by sums and joins on a unique side alone, so no task gathers a hub's neighbours.
     It ends when a round changes nothing: then every edge leads from a node to its root.
     """
-    whole = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    whole = whole.repartition(partitions(edges.sparkSession), "u").mapInArrow(forest_rows, "u long, v long")
+    whole = edges.where("u <> v").select("u", "v").repartition(partitions(edges.sparkSession), "u").mapInArrow(forest_rows, "u long, v long")
     held = materialise(whole.distinct(), "edges")
     seen = _mark(held)
     while seen[0]:
