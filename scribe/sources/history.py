@@ -52,6 +52,7 @@ def create(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(spark: SparkSession, path: str, rows: DataFrame, *order: Column) -> None:
+    """Appends the rows that are new. For one writer at a time: it reads, then writes, without a lock."""
     new_rows(create(spark, path), rows, *order).select(*SCHEMA.names).write.mode("append").parquet(path)
 
 
