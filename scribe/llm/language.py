@@ -31,7 +31,7 @@ from scribe.llm.common import arrow_map, crc_mod, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_ALL, LEAST_ROWS = 400, 8000, 80_000, 10
 SWITCH, WORD_BOUND, SMOOTHING, LEAST_SEEN = 12.0, 8.0, 0.5, 2
-CACHE = 300_000
+CACHE, MOST_BROADCAST = 300_000, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: First and last code points of scripts.
@@ -218,7 +218,9 @@ def sample_of(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc
     wanted = max(LEAST_ROWS, min(SAMPLE_ROWS, SAMPLE_ALL // max(1, langs)))
     # Some three times as many as are wanted, below a bound on their hash, so that no task sorts a language's rows.
     below = F.when(F.col("n") > 3 * wanted, (F.lit(3.0 * wanted) / F.col("n") - 0.5) * F.lit(2.0**64)).otherwise(F.lit(2.0**63))
-    chosen = slim.join(counts.select("lang", below.alias("below")), "lang").where(F.col("h") <= F.col("below"))
+    bounds = counts.select("lang", below.alias("below"))
+    # Languages are few; their number is counted before they are broadcast, so that rows are not dealt by a hot language.
+    chosen = slim.join(F.broadcast(bounds) if langs <= MOST_BROADCAST else bounds, "lang").where(F.col("h") <= F.col("below"))
     first = W.partitionBy("lang").orderBy("h", "i")
     held = {r.i for r in chosen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= wanted).select("i").collect()}  # at most wanted * langs
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(held)] or [(None,)], "i long")  # bounded by the sample
