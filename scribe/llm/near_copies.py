@@ -8,9 +8,14 @@ are loosely linked, as spanning stars. Within each loose component the sets them
 into the components of the exact relation. So no two texts are joined by an estimate; what can be missed is a pair that
 meets under no key (README, 'Near copies').
 
+No task holds a loose component whole. It is dealt into blocks of HASHES shingles or so, and each block is parted exactly;
+the heads of the blocks' parts are dealt and parted again, as long as that at least halves them. What is still parted after
+that is compared in full: all members but those of the heaviest part, in blocks, against every block of the component. So
+a large group of copies costs its members once, and only what stands beside the group is compared with all of it.
+
 Defined cases: a null text counts as empty; texts without words are equal; fewer words than a shingle make one shingle; a
 null doc_id is a row like any other and sorts last; rows repeated whole stay together; an empty table gives an empty
-result; other columns are kept. A loose component is compared within one task, whose memory holds its sets.
+result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ LOOSE = 19
 LEAST = 4
 #: Texts whose bits are computed at once.
 TEXTS = 64
+#: Shingles of a block: what one comparison holds, give or take a text.
+HASHES = 1 << 18
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -100,20 +107,28 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(checks, keys.shape[1])), pa.array(np.ones(keys.size, bool))], ["key", "fp", "own"])
 
 
+def inverted(sets: list[np.ndarray], live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the sets numbered live, and whose each is."""
+    values = np.concatenate([sets[i] for i in live])
+    order = np.argsort(values, kind="stable")
+    return values[order], np.repeat(live, [len(sets[i]) for i in live])[order]
+
+
+def agreeing(own: np.ndarray, index: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """For each indexed set, whether it agrees with own by 0.8 or more."""
+    values, owners = index
+    lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+    many = hi - lo
+    at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    both = np.bincount(owners[at], minlength=len(sizes))
+    return (both > 0) & (9 * both >= 4 * (sizes + len(own)))  # both / (a + b - both) >= 4 / 5
+
+
 def alike(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the number of the first of its component: sets are linked where they agree by 0.8 or more."""
     sizes = np.array([len(s) for s in sets], np.int64)
     label, left = np.arange(len(sets)), np.ones(len(sets), bool)
-    rest = indexed = 0
-
-    def index() -> None:
-        nonlocal values, owners, indexed
-        live = np.flatnonzero(left)
-        values = np.concatenate([sets[i] for i in live])
-        order = np.argsort(values, kind="stable")
-        values, owners, indexed = values[order], np.repeat(live, sizes[live])[order], len(live)
-
-    values = owners = None
+    index, indexed = None, 0
     for head in range(len(sets)):
         if not left[head]:
             continue
@@ -124,38 +139,99 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
             rest = int(left.sum())
             if not rest:
                 break
-            if values is None or rest * 2 < indexed:
-                index()
-            lo, hi = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
-            many = hi - lo
-            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-            both = np.bincount(owners[at], minlength=len(sets))
-            near = np.flatnonzero(left & (both > 0) & (9 * both >= 4 * (sizes + sizes[i])))  # both / (a + b - both) >= 4 / 5
+            if index is None or rest * 2 < indexed:
+                index, indexed = inverted(sets, np.flatnonzero(left)), rest
+            near = np.flatnonzero(left & agreeing(sets[i], index, sizes))
             left[near], label[near] = False, head
             todo += near.tolist()
     return label
 
 
-def exact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads root, node, hashes sorted by root; gives node, head: the name of the first of its exact component."""
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """The runs of rows sorted by their first columns: the values of those, and the other columns as lists."""
+    at, held = None, []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for row in zip(*columns):
+            if held and row[:keys] != at:
+                yield at, [list(c) for c in zip(*held)]
+                held = []
+            at = row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield at, [list(c) for c in zip(*held)]
 
-    def out(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        order = sorted(range(len(names)), key=names.__getitem__)
-        kept = [k for n, k in enumerate(order) if not n or names[k] != names[order[n - 1]]]
-        own = np.array([names[k] for k in kept], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[alike([sets[k] for k in kept])])], ["node", "head"])
 
-    at, names, sets = None, [], []
-    for batch in batches:
-        for root, node, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if names and root != at:
-                yield out(names, sets)
-                names, sets = [], []
-            at = root
-            names.append(node)
-            sets.append(np.frombuffer(raw, np.uint64))
-    if names:
-        yield out(names, sets)
+def exact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads root, block, blocks, node, hashes sorted by root and block; gives HEADS: head is the first name of a node's
+    component within the block, and the hashes go on where the root has other blocks."""
+    for (root, _, blocks), (names, raws) in groups(batches, 3):
+        kept = dict(sorted(zip(names, raws)))
+        own = np.array(list(kept), np.int64)
+        label = alike([np.frombuffer(raw, np.uint64) for raw in kept.values()])
+        carried = pa.array(list(kept.values()) if blocks > 1 else [None] * len(own), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([root] * len(own), pa.int64()), pa.array([blocks] * len(own), pa.int64()), pa.array(own), pa.array(own[label]), carried], ["root", "blocks", "node", "head", "hashes"])
+
+
+HEADS = "root long, blocks long, node long, head long, hashes binary"
+
+
+def cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads root, block, other, asks, head, hashes sorted by the first three: gives u, v, the heads of two parts of which a
+    member that asks and one that does not agree."""
+    for _, (asks, heads, raws) in groups(batches, 3):
+        sets = [np.frombuffer(raw, np.uint64) for raw in raws]
+        of, sizes = np.array(heads, np.int64), np.array([len(s) for s in sets], np.int64)
+        held = np.flatnonzero(~np.array(asks, bool))
+        if not len(held) or len(held) == len(sets):
+            continue
+        index, links = inverted(sets, held), set()
+        for i in np.flatnonzero(np.array(asks, bool)):
+            links.update((heads[i], int(other)) for other in np.unique(of[agreeing(sets[i], index, sizes)]) if other != heads[i])
+        u, v = zip(*links) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def blocks_of(size: Column) -> Column:
+    return F.greatest(F.ceil(F.sum(size) / HASHES), F.lit(1)).cast("long").alias("blocks")
+
+
+def parted(sets: DataFrame, salt: int) -> DataFrame:
+    """HEADS of sets (root, blocks, node, hashes): each root's nodes dealt into its blocks."""
+    dealt = sets.select("root", F.pmod(F.xxhash64("node", F.lit(salt)), "blocks").alias("block"), "blocks", "node", "hashes")
+    return materialise(dealt.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(exact_rows, HEADS), "near-heads")
+
+
+def exact_heads(sets: DataFrame) -> DataFrame:
+    """node, head of sets (root, blocks, node, hashes): head names the node's component of the exact relation within its root."""
+    first = parted(sets, 0)
+    single = first.where("blocks = 1").select("node", "head")
+    wide = first.where("blocks > 1")
+    size = (F.length("hashes") / 8).alias("size")
+    named, now, salt = wide.select("root", "node", "head", size), wide, 0
+
+    # Heads meet heads, in roots that this at least halves.
+    while True:
+        leads = F.col("node") == F.col("head")
+        tally = now.where("blocks > 1").groupBy("root").agg(F.count_if(leads).alias("heads"), F.count("*").alias("nodes"), blocks_of(F.when(leads, size)))
+        open_ = materialise(tally.where("heads > 1 and heads * 2 <= nodes").select("root", "blocks"), "near-open")
+        if open_.isEmpty():
+            break
+        salt += 1
+        now = parted(now.where(leads).drop("blocks").join(open_, "root"), salt)
+        later = now.select(F.col("node").alias("_node"), F.col("head").alias("_head"))
+        named = materialise(named.join(later, named["head"] == later._node, "left").select("root", "node", F.coalesce("_head", "head").alias("head"), "size"), "near-named")
+
+    # What is still parted: all but the heaviest part ask every block of their root.
+    parts = named.groupBy("root", "head").agg(F.sum("size").alias("size"))
+    rest = (F.sum("size") - F.max("size")) / HASHES
+    still = parts.groupBy("root").agg(F.max_by("head", F.struct("size", "head")).alias("main"), F.ceil(rest).cast("long").alias("others"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = wide.drop("head").join(named.select("node", "head"), "node").join(still, "root")
+    told = members.select("root", F.pmod(F.xxhash64("node", F.lit(0)), "blocks").alias("block"), F.explode(F.expr("sequence(0, others - 1)")).alias("other"), F.lit(False).alias("asks"), "head", "hashes")
+    ask = members.where("head <> main").select("root", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("node", F.lit(-1)), "others").alias("other"), F.lit(True).alias("asks"), "head", "hashes")
+    meet = told.unionByName(ask).repartition("root", "block", "other").sortWithinPartitions("root", "block", "other")
+    links = components(meet.mapInArrow(cross_rows, "u long, v long")).select(F.col("node").alias("_node"), F.col("root").alias("_head"))
+    return single.unionByName(named.join(links, named["head"] == links._node, "left").select("node", F.coalesce("_head", "head").alias("head")))
 
 
 def tag() -> Column:
@@ -179,14 +255,14 @@ def kept_rows(docs: DataFrame) -> DataFrame:
         sets = [shingles(t) for t in texts]
         words = bits_of(sets, by)
         return {
-            "doc_id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int64()), "node": pa.array([name_of(s) for s in sets], pa.int64()),
+            "doc_id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int64()), "node": pa.array([name_of(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()),
             "check": pa.array(words[:, -1].copy().view(np.int64)), "bits": pa.array([w.tobytes() if len(s) >= LEAST else None for w, s in zip(words, sets)], pa.binary()),
         }
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag().alias("tag"), "text")
-    marked = materialise(arrow_map(own, "doc_id long, tag long, node long, check long, bits binary", rows, "doc_id", "tag", "text"), "near-bits")
+    marked = materialise(arrow_map(own, "doc_id long, tag long, node long, size long, check long, bits binary", rows, "doc_id", "tag", "text"), "near-bits")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tag")).alias("first")
-    nodes = materialise(marked.groupBy("node").agg(first, F.min("check").alias("check"), F.max(F.col("bits").isNotNull()).alias("wide")), "near-nodes")
+    nodes = materialise(marked.groupBy("node").agg(first, F.min("check").alias("check"), F.min("size").alias("size"), F.max(F.col("bits").isNotNull()).alias("wide")), "near-nodes")
 
     # Loose links between checks; sets that share a check are one there.
     checks = marked.where("bits is not null").groupBy("check").agg(F.first("bits").alias("bits"))
@@ -195,14 +271,18 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     roots = components(stars).select(F.col("node").alias("check"), "root")
     shared = nodes.where("wide").groupBy("check").agg(F.count("*").alias("n")).where("n > 1").select("check")
     roots = roots.unionByName(shared.join(roots, "check", "left_anti").withColumn("root", F.col("check")))
-    loose = nodes.where("wide").join(roots, "check").select("first.doc_id", "first.tag", "node", "root")
+    loose = nodes.where("wide").join(roots, "check").select("first.doc_id", "first.tag", "node", "size", "root")
+    loose = loose.join(loose.groupBy("root").agg(blocks_of(F.col("size"))), "root")
 
     # The sets themselves, within each loose component.
-    def sets_of(root: list, node: list, texts: list) -> dict:
-        return {"root": pa.array(root, pa.int64()), "node": pa.array(node, pa.int64()), "hashes": pa.array([shingles(t).tobytes() for t in texts], pa.binary())}
+    def sets_of(root: list, blocks: list, node: list, texts: list) -> dict:
+        return {
+            "root": pa.array(root, pa.int64()), "blocks": pa.array(blocks, pa.int64()), "node": pa.array(node, pa.int64()),
+            "hashes": pa.array([shingles(t).tobytes() for t in texts], pa.binary()),
+        }
 
-    sets = arrow_map(picked(docs.select("doc_id", "text"), loose, "node", "root"), "root long, node long, hashes binary", sets_of, "root", "node", "text")
-    heads = sets.repartition("root").sortWithinPartitions("root").mapInArrow(exact_rows, "node long, head long")
+    sets = arrow_map(picked(docs.select("doc_id", "text"), loose, "node", "root", "blocks"), "root long, blocks long, node long, hashes binary", sets_of, "root", "blocks", "node", "text")
+    heads = exact_heads(sets)
     named = nodes.join(heads, "node", "left").select(F.coalesce("head", "node").alias("head"), "first")
     return named.groupBy("head").agg(F.min("first").alias("first")).select("first.doc_id", "first.tag")
 

@@ -76,3 +76,46 @@ def test_components_are_exact():
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
     assert label.tolist() == want
+
+
+def brute_labels(sets):
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])):
+                x, y = want[a], want[b]
+                want = [min(x, y) if w in (x, y) else w for w in want]
+    return want
+
+
+def test_blocks_find_what_one_task_finds(spark, monkeypatch):
+    """Roots dealt into many blocks: a chain whose ends share nothing, a large group beside strangers, many small groups."""
+    rng = np.random.default_rng(3)
+
+    def drawn(n):
+        return rng.integers(0, 1 << 60, n).astype(np.uint64)
+
+    line, base = drawn(400), drawn(100)
+    chain = [np.unique(line[k : k + 100]) for k in range(0, 300, 9)]
+    group = [np.unique(np.concatenate([base[k % 9 :], drawn(k % 9)])) for k in range(60)] + [np.unique(drawn(100)) for _ in range(5)]
+    small = [np.unique(np.concatenate([own, drawn(3)])) for own in (drawn(90) for _ in range(25)) for _ in range(2)]
+    monkeypatch.setattr(near_copies, "HASHES", 500)
+    rows, want = [], {}
+    for root, sets in enumerate((chain, group, small, chain[:2])):
+        names = [root * 1000 + i for i in range(len(sets))]
+        blocks = -(-sum(map(len, sets)) // 500)
+        rows += [(root, blocks, n, s.tobytes()) for n, s in zip(names, sets)]
+        for n, w in zip(names, brute_labels(sets)):
+            want.setdefault((root, w), set()).add(n)
+    frame = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in rows], "root long, blocks long, node long, hashes binary")
+    got = {}
+    for r in near_copies.exact_heads(frame).collect():
+        got.setdefault(r["head"], set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len(got) == 1 + 6 + 25 + 1
+
+
+def test_stage_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HASHES", 1 << 10)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 600")
+    assert {r.doc_id for r in near_copies.stage(spark, docs, SF).collect()} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
