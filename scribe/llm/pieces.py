@@ -39,27 +39,71 @@ CHUNK, WORD_CHUNK = 1 << 16, 1 << 10
 CACHE = 300_000
 NEVER = -np.inf
 #: A worker's models, by path; they outlive a task.
-WORKER: dict[str, Model] = {}
+WORKER: dict[tuple[type, str], Decoder] = {}
 
 State = tuple[int, int]  # a piece's first place and the place after it
 
 
-class Model:
-    """The pieces of a model file and the weights between them."""
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protobuf message: number, and value (of varints) or bytes."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            if raw[at] < 128:
+                return value, at + 1
+            at, shift = at + 1, shift + 7
+
+    at = 0
+    while at < len(raw):
+        head, at = varint(at)
+        if head & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = (8, at) if head & 7 == 1 else (4, at) if head & 7 == 5 else varint(at)
+            value, at = raw[at : at + size], at + size
+        yield head >> 3, value
+
+
+def model_type(raw: bytes) -> int:
+    """The type a model file was trained as: 1 unigram (if none is said), 2 BPE, 3 words, 4 letters."""
+    trainer = next((v for k, v in fields(raw) if k == 2), b"")  # the file's second field describes its trainer, whose third is the type
+    return next((v for k, v in fields(trainer) if k == 3), 1)
+
+
+class Decoder:
+    """The bytes that ids stand for."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.names = [sp.id_to_piece(i) for i in range(n)]
+        self.raw = [b"" if sp.is_control(i) else bytes([int(self.names[i][3:5], 16)]) if sp.is_byte(i) else (" ⁇ " if sp.is_unknown(i) else self.names[i]).encode() for i in range(n)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(BLANK, " ")
+        return text.removeprefix(" ")
+
+
+class Model(Decoder):
+    """The pieces of a BPE model file and the weights between them; other types are refused, as their encodings differ."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            kind = model_type(f.read())
+        if kind != 2:
+            raise ValueError(f"{path} is no BPE model (its type is {kind}, not 2)")
+        super().__init__(path)
+        sp, n = self.sp, len(self.names)
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.score = {self.names[i]: sp.get_score(i) for i in plain}
         self.byte = {int(self.names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.score))
         self.ids = {p: i for i, p in enumerate(self.names) if p in self.score and self.merged(p) == [p]}
-        self.raw = [b"" if sp.is_control(i) else bytes([int(self.names[i][3:5], 16)]) if sp.is_byte(i) else (" ⁇ " if sp.is_unknown(i) else self.names[i]).encode() for i in range(n)]
         self.reach: dict[str, int] = {}  # by the first three letters, the longest piece
         for p in self.ids:
             self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 2))
@@ -272,10 +316,6 @@ class Model:
             return b"".join(self.words.get(x) or self.older.get(x) or self.words.setdefault(x, self.word(x)) for x in (head, tail))
         return self.word(text)
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(BLANK, " ")
-        return text.removeprefix(" ")
-
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product."""
@@ -308,10 +348,10 @@ def best_states(matrices: list[np.ndarray]) -> list[int]:
     return out
 
 
-def model_of(path: str) -> Model:
-    if path not in WORKER:
-        WORKER[path] = Model(path)
-    return WORKER[path]
+def model_of(path: str, kind: type[Decoder] = Model) -> Decoder:
+    if (kind, path) not in WORKER:
+        WORKER[kind, path] = kind(path)
+    return WORKER[kind, path]
 
 
 def marked(text: str | None) -> str:
@@ -421,7 +461,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kept = "doc_id long, n_chars long, text_sha256 string, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(path)
+        model = model_of(path, Decoder)
         for part in batches:
             for batch in (part.slice(at, SLICE_ROWS) for at in range(0, part.num_rows, SLICE_ROWS)):
                 texts = pa.array([model.decode(np.frombuffer(c, np.uint32)) for c in batch.column("ids").to_pylist()], pa.string())

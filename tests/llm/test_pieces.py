@@ -57,3 +57,14 @@ def test_frames(spark, library):
         assert r.decoded == t.replace("▁", " ")
     empty = df.limit(0)
     assert pieces.encode(empty, pieces.model_path()).count() == 0
+
+
+def test_other_types_are_refused(tmp_path):
+    raw = open(pieces.model_path(), "rb").read()
+    assert pieces.model_type(raw) == 2 and pieces.model_type(b"") == 1
+    head = b"\x12\x06tok_v0\x18"
+    assert raw.count(head + b"\x02") == 1
+    other = tmp_path / "unigram.model"
+    other.write_bytes(raw.replace(head + b"\x02", head + b"\x01"))
+    with pytest.raises(ValueError, match="no BPE model"):
+        pieces.Model(str(other))
