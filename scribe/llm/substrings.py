@@ -17,6 +17,11 @@ Equality is by 128 bits at level 2 (two independent identifiers) and 96 at level
 bucket range, texts as compressed blobs by document, so that a shuffle moves few rows and bytes. Hot passages are settled
 within batches, so that no key gathers more than one document from each.
 
+Blobs grow in number with the square of the input, so what each repeats is small: the documents of a batch are in order of
+their ids, which travel as differences; a document is told by its id alone, and by its text's hash beside it only where that
+id may stand on several rows (repeated_slots()); documents of neighbouring ids share a part. A level's shuffle files go as soon
+as the level is written (dropped_shuffles()), or they would stay on disk until the driver happens to collect its garbage.
+
 Defined cases: null text is empty; texts under 50 bytes lose nothing; documents of equal doc_id do not cover each other; a
 null doc_id counts as larger than all others; very long texts are read whole; rows repeated get a row each; an empty table
 gives an empty result; other columns are ignored.
@@ -36,13 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribe.llm.common import materialise, partitions, table
+from scribe.llm.common import dropped_shuffles, materialise, partitions, table
 
 LENGTH, GRAM = 50, 24
 #: q-grams of a window, and bytes around a q-gram that windows with it can reach.
 STEPS = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 GAP = 64
+#: Slots of the filter of ids that stand on several rows, and how many neighbouring ids share a part (as a power of 2).
+SLOTS, NEIGHBOURS = 1 << 20, 5
 NO_ID = np.iinfo(np.int64).max
 ROWS = "part int, kind int, data binary"
 COVER, REQUEST, TEXT, KEYS = 0, 1, 2, 3
@@ -162,8 +169,17 @@ def text_key(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
+def apart(ids: np.ndarray) -> np.ndarray:
+    """Ids as differences, which are small where the ids are in order; together() undoes it."""
+    return np.diff(ids, prepend=np.int64(0))
+
+
+def together(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=np.int64)
+
+
 def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    x = joined(ids.astype(np.int64).view(np.uint64), np.full(len(ids), M3))
+    x = joined((ids.astype(np.int64) >> NEIGHBOURS).view(np.uint64), np.full(len(ids), M3))
     return (x >> np.uint64(33)).astype(np.int64) % parts
 
 
@@ -188,19 +204,24 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
 
-def batches_of_texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    ids, texts, size = [], [], 0
+def batches_of_texts(batches: Iterator[pa.RecordBatch], most: int, again: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids in order, keys (0 where the slot says that the id stands on one row alone) and texts."""
+    rows, size = [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for i, t, slot in zip(*(batch.column(k).to_pylist() for k in range(3))):
             data = (t or "").encode("utf-8", "surrogatepass")
-            ids.append(NO_ID if i is None else i)
-            texts.append(data)
+            rows.append((i, text_key(data) if again[slot] else 0, data))
             size += len(data)
             if size > most:
-                yield np.array(ids, np.int64), texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), texts
+                yield _in_order(rows)
+                rows, size = [], 0
+    if rows:
+        yield _in_order(rows)
+
+
+def _in_order(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ids, keys, texts = zip(*sorted(rows, key=lambda r: r[:2]))
+    return np.array(ids, np.int64), np.array(keys, np.int64), list(texts)
 
 
 class Segment(NamedTuple):
@@ -248,7 +269,7 @@ def per_doc(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, doc: np.nd
     for p in np.unique(part):
         mine = part == p
         used, local = np.unique(doc[mine], return_inverse=True)
-        yield row(int(p), kind, packed(ids[used], keys[used], narrow(local), narrow(place[mine])))
+        yield row(int(p), kind, packed(apart(ids[used]), keys[used], narrow(local), narrow(place[mine])))
 
 
 def key_blobs(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, main: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -262,7 +283,7 @@ def key_blobs(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, main: np
         if a < b:
             used, local = np.unique(doc[a:b], return_inverse=True)
             gaps = np.diff(main[a:b], prepend=np.uint64(0))
-            yield row(int(p), kind, packed(ids[used], keys[used], gaps, second[a:b], narrow(local), narrow(place[a:b])))
+            yield row(int(p), kind, packed(apart(ids[used]), keys[used], gaps, second[a:b], narrow(local), narrow(place[a:b])))
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,13 +316,12 @@ def settle(ids, keys, main, second, doc, place, kind: int, parts: int, doc_parts
     yield from key_blobs(kind, parts, ids, keys, main[first], second[first], doc[first], place[first])
 
 
-def index_rows(parts: int, doc_parts: int, sizes: Sizes):
+def index_rows(parts: int, doc_parts: int, sizes: Sizes, again: np.ndarray):
     """Level 1: rows of the first buckets, and what batches settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for ids, texts in batches_of_texts(batches, sizes.batch):
-                keys = np.array([text_key(t) for t in texts], np.int64)
+            for ids, keys, texts in batches_of_texts(batches, sizes.batch, again):
                 found: list[list[np.ndarray]] = [[], [], [], []]
                 for segments, block in blocks(texts, sizes.block):
                     at, of, doc, place = in_texts(segments, block, block.anchors())
@@ -325,13 +345,17 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
 
 
 def opened(blobs: list[bytes]):
-    """The records of key blobs: ids, keys (by document) and main, second, doc, place."""
+    """The records of key blobs: ids, keys (by document, in order) and main, second, doc, place."""
     parts = [unpacked(b) for b in blobs]
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-    ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    ids, keys = np.concatenate([together(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+    in_order = np.lexsort((keys, ids))
+    rank = np.empty(len(ids), np.int64)
+    rank[in_order] = np.arange(len(ids))
+    ids, keys = ids[in_order], keys[in_order]
     main = np.concatenate([np.cumsum(p[2], dtype=np.uint64) for p in parts])
     second = np.concatenate([p[3] for p in parts])
-    doc = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift)])
+    doc = rank[np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift)])]
     place = np.concatenate([p[5].astype(np.int64) for p in parts])
     by = np.argsort(main, kind="stable")
     return ids, keys, main[by], second[by], doc[by], place[by]
@@ -378,18 +402,17 @@ def refine_rows(doc_parts: int, windows: bool):
     return run
 
 
-def text_rows(doc_parts: int, sizes: Sizes):
+def text_rows(doc_parts: int, sizes: Sizes, again: np.ndarray):
     """Texts by document part: ids, keys and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for ids, texts in batches_of_texts(batches, sizes.batch):
+            for ids, keys, texts in batches_of_texts(batches, sizes.batch, again):
                 part = doc_part(ids, doc_parts)
                 for p in np.unique(part):
                     mine = np.flatnonzero(part == p)
-                    keys = np.array([text_key(texts[i]) for i in mine], np.int64)
                     lengths = np.array([len(texts[i]) for i in mine], np.int64)
-                    yield row(int(p), TEXT, packed(ids[mine], keys, lengths, np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)))
+                    yield row(int(p), TEXT, packed(apart(ids[mine]), keys[mine], lengths, np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)))
 
         return as_batches(rows())
 
@@ -403,11 +426,12 @@ def sorted_out(own: Iterator[tuple[int, bytes]]):
         if kind == TEXT:
             ids, keys, sizes, raw = unpacked(data)
             raw, at = raw.tobytes(), 0
-            for i, k, n in zip(ids.tolist(), keys.tolist(), sizes.tolist()):
+            for i, k, n in zip(together(ids).tolist(), keys.tolist(), sizes.tolist()):
                 texts.append((i, k, raw[at : at + n]))
                 at += n
         else:
             ids, keys, doc, place = unpacked(data)
+            ids = together(ids)
             starts, ends = _runs(doc) if len(doc) else ([], [])
             for a, b in zip(starts, ends):
                 d = int(doc[a])
@@ -483,21 +507,36 @@ def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
 
+def repeated_slots(own: DataFrame) -> np.ndarray:
+    """True at the slots of ids that stand on several rows (and of others that fall there): SLOTS bits, whatever the input."""
+    rows = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("slot").alias("slot")).where("n > 1")
+    place = F.col("slot") + 1  # Spark numbers a bitmap's places from 1
+    maps = rows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    again = np.zeros(SLOTS, bool)
+    for r in maps.collect():
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
+        again[(r.bucket - 1) * len(bits) : r.bucket * len(bits)] = bits
+    return again
+
+
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs' starts and ends (bytes)."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    again = repeated_slots(own)
     n = parts = max(partitions(spark), total // sizes.part)
 
     def by_part(df: DataFrame) -> DataFrame:
         return df.repartition(n, "part").sortWithinPartitions("part", "kind")
 
-    level2 = materialise(by_part(own.mapInArrow(index_rows(parts, parts, sizes), ROWS)).mapInArrow(refine_rows(parts, False), ROWS), "buckets")
-    texts = own.mapInArrow(text_rows(parts, sizes), ROWS)
-    windows = by_part(texts.unionByName(level2.where(F.col("kind") == REQUEST))).mapInArrow(window_rows(parts, parts, sizes), ROWS)
-    # What level 3 settles within parts or covers are windows: they travel as kind REQUEST from here on.
-    level3 = materialise(by_part(windows).mapInArrow(refine_rows(parts, True), ROWS), "windows").withColumn("kind", F.lit(REQUEST))
+    with dropped_shuffles(spark):
+        level2 = materialise(by_part(own.mapInArrow(index_rows(parts, parts, sizes, again), ROWS)).mapInArrow(refine_rows(parts, False), ROWS), "buckets")
+        texts = own.mapInArrow(text_rows(parts, sizes, again), ROWS)
+        windows = by_part(texts.unionByName(level2.where(F.col("kind") == REQUEST))).mapInArrow(window_rows(parts, parts, sizes), ROWS)
+        # What level 3 settles within parts or covers are windows: they travel as kind REQUEST from here on.
+        level3 = materialise(by_part(windows).mapInArrow(refine_rows(parts, True), ROWS), "windows").withColumn("kind", F.lit(REQUEST))
     return by_part(texts.unionByName(level2.where(F.col("kind") == COVER)).unionByName(level3)).mapInArrow(removal_rows, RESULT)
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from scribe.llm import substrings
@@ -63,3 +65,35 @@ def test_documents(spark):
     t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
     rows = [(i, x) for i, x in zip(t["doc_id"], t["text"])]
     assert run(spark, rows, substrings.Sizes(1 << 15, 1 << 10, 1 << 15)) == brute(rows)
+
+
+def sent(rows, parts):
+    """Bytes that one batch's index forwards."""
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([0] * len(rows))], ["doc_id", "text", "slot"])
+    index = substrings.index_rows(parts, parts, substrings.Sizes(), np.zeros(substrings.SLOTS, bool))
+    return sum(len(x) for b in index(iter([batch])) for x in b.column(2).to_pylist())
+
+
+def test_blobs_stay_small_in_many_parts():
+    """What a record costs must not grow with the number of parts, which grows with the input."""
+    rng = random.Random(3)
+    rows = [(10_000 + i, "".join(rng.choice("abcdefgh ") for _ in range(3000))) for i in range(600)]
+    assert sent(rows, 600) < 1.25 * sent(rows, 20)
+
+
+def test_repeated_ids_are_told_apart(spark):
+    own = spark.createDataFrame([(i, s) for i, s in [(1, 0), (1, 0), (2, 32768), (3, 32767), (3, 32767), (4, substrings.SLOTS - 1), (4, substrings.SLOTS - 1)]], "doc_id long, slot int")
+    assert np.flatnonzero(substrings.repeated_slots(own)).tolist() == [0, 32767, substrings.SLOTS - 1]
+    rows = [(2**63 - 2, "x" * 60), (None, "x" * 60), (None, "y" * 70), (7, "y" * 70), (7, "x" * 50), (-(2**63), "x" * 55)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_shuffle_files_go_with_their_level(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, own = [], substrings.materialise
+    try:
+        substrings.materialise = lambda df, table: seen.append(spark.conf.get(name)) or own(df, table)
+        run(spark, [(1, "x" * 60), (2, "x" * 60)])
+    finally:
+        substrings.materialise = own
+    assert seen == ["true"] * 2 and spark.conf.get(name) == "false"
