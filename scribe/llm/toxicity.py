@@ -6,12 +6,19 @@ the largest and the RANK-th largest are pooled (a word may stand by chance, seve
 them. As a filter is a sum over its places, each place's projection of a word is computed once and remembered, and scoring
 a text is gathering, adding and taking maxima over its whole length.
 
-Training: embeddings start from smoothed log-odds of document frequency beside noise; Adam on the rows that the maxima
-chose. The scores are calibrated by a logistic fit on a part of the sample kept aside; thresholds() picks one for each
-language there, never under LEAST_THRESHOLD. Language is no input of a score.
+Queries learn from every allowed labelled row and its whole text (trained()), whatever the input's size:
 
-The sample is bounded by SAMPLE_ROWS a class, chosen by a hash of doc_id among the texts of at most SAMPLE_CHARS; where a
-class has too few of these, longer texts fill it up with their first SAMPLE_CHARS. Scoring reads whole texts of any length.
+1. One row in ASIDE is kept aside. Over the others, every hash's texts are counted by class in BUCKETS buckets. A word's
+   embedding is the shrunk log-odds of its hashes, a dimension for each kind of hash, and how common it is.
+2. Filters and the logistic layer are learned by Adam in shards of SHARD_ROWS rows, each of which reads all of its rows; their
+   means, weighed by rows, start the next of ROUNDS. A text's own count is taken off its words' odds while it is learned from.
+3. All rows kept aside are scored: a logistic fit over their histogram calibrates, and each language's threshold is the lowest
+   of at least LEAST_THRESHOLD that at most MOST_FALSE of its clean rows reach. Language is no input of a score.
+
+What travels to the driver is the counts (BUCKETS, in ranges), one mean of the small layers a round, and histograms.
+
+train() learns from a list in memory, with embeddings that are trained too; sample_of() chooses such a list (at most SAMPLE_ROWS
+a class, SAMPLE_CHARS of each). No query uses either.
 
 Defined cases: null and empty texts are scored as a text without words; labels that are null are no labels; several
 labels of a document count as their largest; with no label of a class the score is constant (0, or 1 if all are toxic);
@@ -24,6 +31,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,9 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribe.llm.common import arrow_map, crc_mod, least_hashes, materialise, table
+from scribe.llm.common import arrow_map, crc_mod, dropped_shuffles, least_hashes, materialise, table
 
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8000
+BUCKETS, RANGES, SHRINK = 1 << 20, 64, 1.0
+ROUNDS, SHARD_ROWS, CHUNK_ROWS, CHUNK_WORDS = 2, 6000, 2048, 1 << 20
+BINS, MOST_FALSE = 64, 0.005
 WIDTHS, FILTERS, DIMENSIONS, RANK = (1, 2, 3), 8, 8, 3
 HASH_BITS, LEAST_DOCS, BEGINNINGS = 26, 2, (3, 4, 5, 6, 7, 8)
 EPOCHS, LEAST_STEPS, BATCH, RATE, ASIDE = 8, 600, 32, 0.02, 5
@@ -57,12 +68,51 @@ class Model(NamedTuple):
     by_lang: dict[str, float]
     constant: float | None = None
     name: str = ""
+    counts: np.ndarray | None = None  # (2, BUCKETS + 1): clean and toxic texts of each bucket, and of all; instead of rows and embeddings
 
 
 def hashes_of(word: str) -> list[int]:
     """The word's own hash and those of its beginnings."""
+    mask, crc = (1 << HASH_BITS) - 1, zlib.crc32
+    if word.isascii():  # a beginning's checksum goes on from the shorter one's
+        data = word.encode()
+        found = [crc(b"=" + data) & mask]
+        if len(data) >= BEGINNINGS[0]:
+            c = crc(data[: BEGINNINGS[0]])
+            found.append(c & mask)
+            for k in range(BEGINNINGS[0], min(len(data), BEGINNINGS[-1])):
+                c = crc(data[k : k + 1], c)
+                found.append(c & mask)
+        return found
     parts = ["=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for p in parts]
+    return [crc(p.encode("utf-8", "surrogatepass")) & mask for p in parts]
+
+
+def odds_of(counts: np.ndarray, words: list[str], own: int | None = None) -> np.ndarray:
+    """Embeddings of words by counts: shrunk log-odds of each kind of hash, then how common the word is. own: the class of the
+    text that they stand in, whose own count is taken off."""
+    found = [hashes_of(w) for w in words]
+    sizes = np.array([len(f) for f in found])
+    at = np.array([h for f in found for h in f], np.int64) & (BUCKETS - 1)
+    word = np.repeat(np.arange(len(words)), sizes)
+    kind = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    cold, hot = counts[0, at].astype(float), counts[1, at].astype(float)
+    if own is not None:
+        (hot if own else cold)[:] -= 1
+        cold, hot = np.maximum(cold, 0), np.maximum(hot, 0)
+    n0, n1 = totals_of(counts)
+    share = n1 / (n0 + n1)
+    odds = np.log((hot + SHRINK * share) / (cold + SHRINK * (1 - share))) - np.log(share / (1 - share))
+    out = np.zeros((len(words), DIMENSIONS), np.float32)
+    out[word, kind] = np.clip(odds / 4, -1, 1)
+    whole = kind == 0
+    out[:, DIMENSIONS - 1] = np.log1p((hot + cold)[whole]) / np.log1p(n0 + n1) / 4
+    return out
+
+
+def totals_of(counts: np.ndarray) -> tuple[float, float]:
+    """Clean and toxic texts: the last column of counts."""
+    return float(counts[0, BUCKETS]), float(counts[1, BUCKETS])
 
 
 class Scorer:
@@ -78,10 +128,7 @@ class Scorer:
             return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
         except KeyError:
             new = sorted(set(words).difference(cache))
-            get = self.model.rows.get
-            found = [[get(h, 0) for h in hashes_of(w)] for w in new]
-            flat = np.array([r for f in found for r in f], np.int64)
-            sums = np.add.reduceat(self.model.embeddings[flat], np.concatenate([[0], np.cumsum([len(f) for f in found])[:-1]]), axis=0)
+            sums = self.vectors(new)
             first = len(cache) + 1
             while first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -90,6 +137,15 @@ class Scorer:
             return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
 
+    def vectors(self, words: list[str]) -> np.ndarray:
+        if self.model.counts is not None:
+            return odds_of(self.model.counts, words)
+        get = self.model.rows.get
+        found = [[get(h, 0) for h in hashes_of(w)] for w in words]
+        flat = np.array([r for f in found for r in f], np.int64)
+        return np.add.reduceat(self.model.embeddings[flat], np.concatenate([[0], np.cumsum([len(f) for f in found])[:-1]]), axis=0)
+
+
 #: A worker's scorer, by the model's name; it outlives a task.
 WORKER: dict[str, Scorer] = {}
 
@@ -220,8 +276,18 @@ def train(sample: list[tuple[str, int, str | None]], seed: int = 7) -> Model:
     return model._replace(scale=scale, by_lang=thresholds(sigmoid(scale[0] * raw + scale[1]), labels[aside], [sample[i][2] for i in aside]))
 
 
-def calibrated(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit with smoothed targets."""
+def calibrated(raw: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit with smoothed targets. times: how often each stands."""
+    if times is not None:
+        share, n1, n0 = times / times.sum(), (labels * times).sum(), ((1 - labels) * times).sum()
+        mean = float(share @ raw)
+        spread = float(np.sqrt(share @ (raw - mean) ** 2)) + 1e-9
+        target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        z, a, b = (raw - mean) / spread, 1.0, 0.0
+        for _ in range(2000):
+            e = share * (sigmoid(a * z + b) - target)
+            a, b = max(0.05, a - 0.5 * float(e @ z)), b - 0.5 * float(e.sum())
+        return a / spread, b - a * mean / spread
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     mean, spread = raw.mean(), raw.std() + 1e-9
@@ -288,9 +354,208 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     return [(r.t, ids[r.i], r.l) for r in found]
 
 
+class Net(NamedTuple):
+    """The layers that shards learn."""
+
+    filters: np.ndarray
+    bias: np.ndarray
+    weight: np.ndarray
+    offset: np.ndarray  # one number
+
+
+def fresh(seed: int = 7) -> Net:
+    rng, half = np.random.default_rng(seed), len(WIDTHS) * FILTERS
+    filters = rng.normal(0, 0.15, (DIMENSIONS, PLACES * FILTERS)).astype(np.float32)
+    filters[0] = np.abs(filters[0]) + 0.3
+    return Net(filters, np.zeros(half, np.float32), np.full(2 * half, 0.15, np.float32), np.full(1, -1.0, np.float32))
+
+
+class Learner:
+    """A shard's copy of the layers, and the embeddings of the words that it has met, by their text's class."""
+
+    def __init__(self, net: Net, counts: np.ndarray, rate: float, seed: int):
+        self.net, self.counts, self.rate = Net(*(p.copy() for p in net)), counts, rate
+        self.rng, self.steps, self.rows = np.random.default_rng(seed), 0, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net]
+        n0, n1 = totals_of(counts)
+        self.weighs = np.array([0.5 * (n0 + n1) / n0, 0.5 * (n0 + n1) / n1])
+
+    def read(self, texts: list[str], labels: list[int], repeat: int) -> None:
+        """repeat times over some texts, in batches drawn at random."""
+        words = [WORD.findall(t.lower()) for t in texts]
+        self.rows += len(texts)
+        met: tuple[dict, dict] = {}, {}
+        for own, y in zip(words, labels):
+            met[y].update(dict.fromkeys(own))
+        tables, first = [np.zeros((1, DIMENSIONS), np.float32)], 1  # row 0: the end of a text
+        for y in (0, 1):
+            if met[y]:
+                tables.append(odds_of(self.counts, list(met[y]), y))
+                met[y].update(zip(met[y], range(first, first + len(met[y]))))
+                first += len(met[y])
+        table, y = np.concatenate(tables), np.array(labels)
+        ids = [np.fromiter(map(met[k].__getitem__, own), np.int64, len(own)) for own, k in zip(words, labels)]
+        for _ in range(repeat):
+            for part in np.array_split(self.rng.permutation(len(ids)), -(-len(ids) // BATCH)):
+                self.step(table, [ids[i] for i in part], y[part])
+
+    def step(self, table: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> None:
+        filters, bias, weight, offset = self.net
+        half = len(bias)
+        ids, starts, lengths = laid_out(texts)
+        met, ids = np.unique(ids, return_inverse=True)
+        x = table[met]
+        y, spots = pooled(x @ filters, bias, ids, starts, lengths, where=True)
+        error = (sigmoid(y @ weight + offset[0]) - labels) * self.weighs[labels] / len(labels)
+        back = (error[:, None] * weight[None, :] * (y > 0)).astype(np.float32)
+        to_filters, at = np.zeros_like(filters), 0
+        for k, width in enumerate(WIDTHS):
+            for j in range(width):
+                for side in (0, half):
+                    cols = slice(side + k * FILTERS, side + (k + 1) * FILTERS)
+                    to_filters[:, at * FILTERS : (at + 1) * FILTERS] += np.einsum("nfd,nf->df", x[ids[np.minimum(spots[:, cols] + j, len(ids) - 1)]], back[:, cols])
+                at += 1
+        self.steps += 1
+        slopes = to_filters, back[:, :half].sum(axis=0) + back[:, half:].sum(axis=0), y.T @ error + 1e-4 * weight, error.sum(keepdims=True)
+        for p, g, (m, v) in zip(self.net, slopes, self.moments):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= (self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)).astype(p.dtype)
+
+
+def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, t) to counts of buckets, in RANGES ranges; range -1 holds the numbers of texts."""
+    counts, cache = np.zeros((2, BUCKETS + 1), np.int64), {}
+    for batch in batches:
+        for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = set(WORD.findall(t.lower()))
+            if len(cache) > CACHE:
+                cache.clear()
+            new = words.difference(cache)
+            cache.update(zip(new, map(hashes_of, new)))
+            held = np.fromiter((h for w in words for h in cache[w]), np.int64) & (BUCKETS - 1)
+            counts[y, np.unique(held)] += 1
+            counts[y, BUCKETS] += 1
+    yield from range_blobs(counts)
+
+
+def range_blobs(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cuts = [*np.split(counts[:, :BUCKETS], RANGES, axis=1), counts[:, BUCKETS:]]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(c).tobytes(), 1) for c in cuts], pa.binary())], ["part", "data"])
+
+
+def summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of ranges, added."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(zlib.decompress(data), np.int64)
+            sums[part] = sums[part] + own if part in sums else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["part", "data"])
+
+
+def counted(rows: DataFrame) -> np.ndarray:
+    """Texts of each bucket by class, over all rows (y, t)."""
+    found = rows.select("y", "t").mapInArrow(count_rows, "part int, data binary").repartition(RANGES, "part").mapInArrow(summed_rows, "part int, data binary")
+    cuts = {r.part: np.frombuffer(zlib.decompress(bytes(r.data)), np.int64).reshape(2, -1) for r in found.collect()}
+    return np.concatenate([cuts[k] for k in range(RANGES + 1)], axis=1) if cuts else np.zeros((2, BUCKETS + 1), np.int64)
+
+
+def learned(rows: DataFrame, counts: np.ndarray) -> Net:
+    """The layers after ROUNDS over all rows (y, t)."""
+    spark, total, net = rows.sparkSession, int(sum(totals_of(counts))), fresh()
+    shards = max(1, total // SHARD_ROWS)
+    repeat = max(1, -(-LEAST_STEPS * BATCH * shards // (ROUNDS * total)))
+    cast = spark.sparkContext.broadcast(counts)
+    for k in range(ROUNDS):
+
+        def shard(batches, net=net, k=k):
+            learner = Learner(net, cast.value, RATE / (k + 1), k)
+            texts, labels, size = [], [], 0
+            for batch in batches:
+                for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    texts.append(t)
+                    labels.append(y)
+                    size += len(t) // 5
+                    if len(texts) >= CHUNK_ROWS or size > CHUNK_WORDS:
+                        learner.read(texts, labels, repeat)
+                        texts, labels, size = [], [], 0
+            if texts:
+                learner.read(texts, labels, repeat)
+            flat = np.concatenate([p.ravel() for p in learner.net]).astype(np.float64) * learner.rows
+            yield pa.RecordBatch.from_arrays([pa.array([learner.rows], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "data"])
+
+        def mean(batches):
+            n, total = 0, np.zeros(sum(p.size for p in net))
+            for batch in batches:
+                for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    n, total = n + own, total + np.frombuffer(data)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / max(n, 1)).tobytes()], pa.binary())], ["n", "data"])
+
+        found = rows.select("y", "t").coalesce(shards).mapInArrow(shard, "n long, data binary").repartition(1).mapInArrow(mean, "n long, data binary").first()
+        flat, parts = np.frombuffer(bytes(found.data)), []
+        for p in net:
+            parts.append(flat[: p.size].reshape(p.shape).astype(np.float32))
+            flat = flat[p.size :]
+        net = Net(*parts)
+    return net
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Column | None = None) -> Model:
+    """The model of all labelled rows of docs, whole texts; allowed: of labels' doc_id."""
+    none, spark = np.zeros(0), docs.sparkSession
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    own = docs.where(F.col(text_col).isNotNull()).withColumnRenamed(id_col, "doc_id")
+    if allowed is not None:
+        marks, own = marks.where(allowed), own.where(allowed)
+    marks = marks.groupBy(F.col("doc_id").cast("long").alias("i")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = own.select(F.col("doc_id").cast("long").alias("i"), F.col(text_col).alias("t"), lang.alias("l"))
+    with dropped_shuffles(spark):
+        rows = materialise(own.join(marks, "i").select("y", "t", "l", (F.pmod(F.xxhash64("i"), F.lit(ASIDE)) == 0).alias("aside")), "toxicity-labelled")
+    used, aside = rows.where("not aside"), rows.where("aside")
+    counts = counted(used)
+    if min(totals_of(counts)) == 0:  # so few rows that what is kept aside leaves a class without any
+        used = aside = rows
+        counts = counted(rows)
+        if min(totals_of(counts)) == 0:
+            return Model({}, none, none, none, none, 0.0, (1.0, 0.0), {}, float(totals_of(counts)[1] > 0))
+    net = learned(used, counts)
+    model = Model({}, none, net.filters, net.bias, net.weight, float(net.offset[0]), (1.0, 0.0), {}, name=uuid.uuid4().hex, counts=counts)
+    cast = spark.sparkContext.broadcast(model)
+
+    def raw(ys: list, langs: list, texts: list) -> dict:
+        return {"y": pa.array(ys, pa.int32()), "l": pa.array(langs, pa.string()), "raw": pa.array(raw_scores(scorer_of(cast.value), texts), pa.float64())}
+
+    bins = arrow_map(aside, "y int, l string, raw double", raw, "y", "l", "t").select("y", "l", F.floor(F.greatest(F.lit(-64.0), F.least(F.lit(64.0), F.col("raw"))) * BINS).cast("int").alias("bin"))
+    hist = materialise(bins.groupBy("y", "l", "bin").agg(F.count("*").alias("n")), "toxicity-aside")
+    every = hist.groupBy("y", "bin").agg(F.sum("n").alias("n")).orderBy("y", "bin").collect()  # at most 2 * 128 * BINS
+    if every:
+        y, at, n = (np.array([r[c] for r in every], float) for c in ("y", "bin", "n"))
+        model = model._replace(scale=calibrated((at + 0.5) / BINS, y, n))
+    return model._replace(by_lang=edges(hist.where("y = 0"), model.scale), name=uuid.uuid4().hex)
+
+
+def edges(clean: DataFrame, scale: tuple[float, float]) -> dict[str, float]:
+    """Thresholds of the languages some of whose clean rows (l, bin, n) reach LEAST_THRESHOLD: all others have that."""
+    least = int(np.floor((np.log(LEAST_THRESHOLD / (1 - LEAST_THRESHOLD)) - scale[1]) / scale[0] * BINS))
+    high = F.collect_list(F.when(F.col("bin") >= least, F.struct("bin", "n"))).alias("high")
+    out = {}
+    for r in clean.where("l is not null").groupBy("l").agg(F.sum("n").alias("n"), high).where(F.size("high") > 0).collect():
+        over, edge = int(MOST_FALSE * r.n), None
+        for at, n in sorted(r.high, reverse=True):
+            over -= n
+            if over < 0:
+                edge = at + 1  # the upper end of the first bin that may not go over
+                break
+        if edge is not None:
+            out[r.l] = min(0.99, max(LEAST_THRESHOLD, float(sigmoid(scale[0] * edge / BINS + scale[1]))))
+    return out
+
+
 def with_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and threshold (of the row's language) for each row of docs."""
-    cast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's vocabulary
+    cast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS counts and the small layers
 
     def rows(ids: list, langs: list, texts: list) -> dict:
         m = cast.value
@@ -303,7 +568,7 @@ def with_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(sample_of(docs, table(spark, sf_dir, "labels"), allowed=crc_mod("doc_id", 3) != 1))
+    model = trained(docs, table(spark, sf_dir, "labels"), allowed=crc_mod("doc_id", 3) != 1)
     scored = with_scores(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= DECIDE).cast("int").alias("predicted"), (F.col("score") >= F.col("threshold")).alias("rejected"))
 

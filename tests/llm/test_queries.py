@@ -183,3 +183,31 @@ def test_scores_match_direct_convolution():
 def test_the_stage_needs_no_language(spark):
     docs = spark.createDataFrame([(1, "plain"), (2, None)], "doc_id long, text string")
     assert toxicity.stage(spark, docs, SF).count() == 2
+
+
+def test_every_labelled_row_and_its_whole_text_is_learned(spark, tmp_path):
+    """What tells the classes stands beyond SAMPLE_CHARS, and the rows of a class are more than SAMPLE_ROWS."""
+    start = "the table of a walk " * (toxicity.SAMPLE_CHARS // 20 + 1)
+    rows = [(k, start + ("vile scum " if k % 2 else "kind folk ") * 5, "en") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect())
+    many = spark.createDataFrame([(k % 2, "vile" if k % 2 else "kind") for k in range(2 * toxicity.SAMPLE_ROWS + 1002)], "y int, t string").repartition(3)
+    counts = toxicity.counted(many)
+    half = toxicity.SAMPLE_ROWS + 501
+    assert toxicity.totals_of(counts) == (half, half)
+    assert [counts[y, toxicity.hashes_of(w)[0] & (toxicity.BUCKETS - 1)] for w, y in (("kind", 0), ("vile", 1), ("kind", 1))] == [half, half, 0]
+
+
+def test_hashes_of_beginnings():
+    for word in ("", "a", "abc", "abcd", "abcdefghijk", "schönheit", "日本語テキスト"):
+        parts = ["=" + word, *(word[:k] for k in toxicity.BEGINNINGS if len(word) >= k)]
+        assert toxicity.hashes_of(word) == [zlib.crc32(p.encode()) & ((1 << toxicity.HASH_BITS) - 1) for p in parts]
+
+
+def test_a_text_does_not_count_for_itself():
+    counts = np.zeros((2, toxicity.BUCKETS + 1), np.int64)
+    counts[:, -1] = 90, 10
+    counts[1, [h & (toxicity.BUCKETS - 1) for h in toxicity.hashes_of("scum")]] = 1
+    assert toxicity.odds_of(counts, ["scum"])[0, 0] > 0.1
+    assert np.allclose(toxicity.odds_of(counts, ["scum"], 1)[0], 0)
