@@ -93,3 +93,10 @@ def test_exact_dedup_keeps_null_identifiers(spark):
     out = exact_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     got = sorted((r.doc_id or 0, (r.text or "").replace("\t", " ")) for r in out)
     assert got == [(0, "alone"), (0, "twice now"), (4, "with an id"), (5, ""), (7, "alone too")]
+
+
+def test_the_stage_learns_from_whole_texts(spark, tmp_path):
+    start = "the table of a walk " * (toxicity.SAMPLE_CHARS // 20 + 1)
+    docs = spark.createDataFrame([(k, start + ("vile scum " if k % 2 else "kind folk ") * 5, "en") for k in range(200)], "doc_id long, text string, lang string")
+    spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in toxicity.stage(spark, docs, str(tmp_path)).collect()) == list(range(0, 200, 2))
