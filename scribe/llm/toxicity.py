@@ -45,6 +45,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8000
 BUCKETS, RANGES, SHRINK = 1 << 20, 64, 1.0
 ROUNDS, SHARD_ROWS, CHUNK_ROWS, CHUNK_WORDS = 2, 6000, 2048, 1 << 20
 BINS, MOST_FALSE = 64, 0.005
+MARK_BITS, PART_BITS = 26, 15  # the second is that of bitmap_construct_agg
 WIDTHS, FILTERS, DIMENSIONS, RANK = (1, 2, 3), 8, 8, 3
 HASH_BITS, LEAST_DOCS, BEGINNINGS = 26, 2, (3, 4, 5, 6, 7, 8)
 EPOCHS, LEAST_STEPS, BATCH, RATE, ASIDE = 8, 600, 32, 0.02, 5
@@ -501,18 +502,45 @@ def learned(rows: DataFrame, counts: np.ndarray) -> Net:
     return net
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Column | None = None) -> Model:
-    """The model of all labelled rows of docs, whole texts; allowed: of labels' doc_id."""
-    none, spark = np.zeros(0), docs.sparkSession
+def among(own: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows (i, t, l) of own whose i may stand in marks: all that do, and of others as large a share as marks take of 2^MARK_BITS
+    cells. What has no label need not travel."""
+    cell = F.xxhash64("i").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("cell")
+    parts = marks.select(cell).groupBy(F.shiftright("cell", PART_BITS).alias("part"))
+    held = parts.agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit((1 << PART_BITS) - 1))).alias("bits"))
+    found = np.zeros((1 << MARK_BITS - PART_BITS, 1 << PART_BITS - 3), np.uint8)
+    for r in held.collect():  # 8 MB at most
+        found[r.part] = np.frombuffer(r.bits, np.uint8)
+    cast = own.sparkSession.sparkContext.broadcast(zlib.compress(found.tobytes(), 1))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zlib.decompress(cast.value), np.uint8)
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            yield batch.select(["i", "t", "l"]).filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return own.select("i", "t", "l", cell).mapInArrow(kept, own.select("i", "t", "l").schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Column | None = None) -> DataFrame:
+    """y, t, l and aside of all labelled rows of docs. The join is a merge at every size, as labels grow with the documents: small
+    ones, if broadcast, would tell nothing of what large ones take."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     own = docs.where(F.col(text_col).isNotNull()).withColumnRenamed(id_col, "doc_id")
     if allowed is not None:
         marks, own = marks.where(allowed), own.where(allowed)
-    marks = marks.groupBy(F.col("doc_id").cast("long").alias("i")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    marks = marks.select(F.col("doc_id").cast("long").alias("i"), "toxic")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = own.select(F.col("doc_id").cast("long").alias("i"), F.col(text_col).alias("t"), lang.alias("l"))
+    own = among(own.select(F.col("doc_id").cast("long").alias("i"), F.col(text_col).alias("t"), lang.alias("l")), marks)
+    marks = marks.groupBy("i").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    return own.join(marks.hint("merge"), "i").select("y", "t", "l", (F.pmod(F.xxhash64("i"), F.lit(ASIDE)) == 0).alias("aside"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: Column | None = None) -> Model:
+    """The model of all labelled rows of docs, whole texts; allowed: of labels' doc_id."""
+    none, spark = np.zeros(0), docs.sparkSession
     with dropped_shuffles(spark):
-        rows = materialise(own.join(marks, "i").select("y", "t", "l", (F.pmod(F.xxhash64("i"), F.lit(ASIDE)) == 0).alias("aside")), "toxicity-labelled")
+        rows = materialise(labelled(docs, labels, id_col, text_col, allowed), "toxicity-labelled")
     used, aside = rows.where("not aside"), rows.where("aside")
     counts = counted(used)
     if min(totals_of(counts)) == 0:  # so few rows that what is kept aside leaves a class without any

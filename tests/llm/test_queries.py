@@ -199,6 +199,21 @@ def test_every_labelled_row_and_its_whole_text_is_learned(spark, tmp_path):
     assert [counts[y, toxicity.hashes_of(w)[0] & (toxicity.BUCKETS - 1)] for w, y in (("kind", 0), ("vile", 1), ("kind", 1))] == [half, half, 0]
 
 
+def test_labels_meet_texts_by_one_plan_and_few_texts_travel(spark):
+    """Small labels were broadcast and large ones merged; then every allowed text went through the exchange, labelled or not."""
+    docs = spark.createDataFrame([(k, f"text {k}", None if k % 3 else "en") for k in range(4000)] + [(7, "again", "de"), (None, "none", "en"), (8, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 4 // 2) for k in range(0, 4000, 40)] + [(7, 0), (7, 1), (9, None), (None, 1), (9000, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels)
+    want = [(k % 4 // 2, f"text {k}", None if k % 3 else "en") for k in range(0, 4000, 40)] + [(1, "text 7", None), (1, "again", "de")]
+    assert sorted(((r.y, r.t, r.l) for r in rows.collect()), key=str) == sorted(want, key=str)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    own, marks = docs.selectExpr("doc_id AS i", "text AS t", "lang AS l"), labels.selectExpr("doc_id AS i", "toxic")
+    for held, most in ((marks, 130), (marks.limit(0), 0)):
+        ids = [r.i for r in toxicity.among(own, held).collect()]
+        assert {r.i for r in held.collect()} & set(range(4000)) <= set(ids) and len(ids) <= most
+
+
 def test_hashes_of_beginnings():
     for word in ("", "a", "abc", "abcd", "abcdefghijk", "schönheit", "日本語テキスト"):
         parts = ["=" + word, *(word[:k] for k in toxicity.BEGINNINGS if len(word) >= k)]
